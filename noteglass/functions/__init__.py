@@ -1 +1 @@
-
+"""Column functions, all evaluated inside the JVM."""

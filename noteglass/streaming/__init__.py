@@ -1 +1 @@
-
+"""Streams of run records."""
