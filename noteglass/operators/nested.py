@@ -78,7 +78,9 @@ def state(node) -> str:
         return TURN
     if "file" in node:
         return REF
-    return WRAP if any(isinstance(x, (dict, list)) and state(x) in CONTAINERS for x in node.values()) else OTHER
+    if any(isinstance(x, (dict, list)) and state(x) in CONTAINERS for x in node.values()):
+        return WRAP
+    return SESSION if "id" in node else OTHER
 
 
 class Walk:

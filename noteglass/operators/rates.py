@@ -53,13 +53,14 @@ def pairs(unit_rows: DataFrame, exposed: DataFrame, needles: DataFrame, grades:
     exposed (transcript, needle, form, markers array); grades (PAIR, located). A recovered
     value settles t3 without a grade.
     """
-    noted = unit_rows.where("note is not null")
-    scored = scoring.scores(noted.select("arm", *KEY, "note"), needles, "note")
+    # one pass over units and needles: scored where there is a note, null flags where there is none
+    unit = unit_rows.select("arm", *KEY, "claimed", "attacked", "refused", "note")
+    scored = scoring.scores(unit, needles, "note", ("planted", "tail"))
     dim = scoring.checked(scoring.prepared(needles).select("needle", "category", "planted", "tail"))
-    base = unit_rows.select("arm", *KEY, "claimed", "attacked", "refused").crossJoin(dim)
+    base = scored.unionByName(unit.where("note is null").drop("note").crossJoin(dim), allowMissingColumns=True)
     carried = F.exists("claimed", lambda v: F.contains(v, F.col("planted")) | ((F.col("tail") != "") & F.contains(v, F.col("tail"))))
     marks = exposed.select("transcript", "needle", F.col("form").alias("form"), (F.coalesce(F.size("markers"), F.lit(0)) > 0).alias("marked")).dropDuplicates(["transcript", "needle"])
-    rows = base.join(marks, ["transcript", "needle"], "left").join(scored.drop("category"), PAIR, "left").join(grades.select(*PAIR, F.col("located")).dropDuplicates(PAIR), PAIR, "left")
+    rows = base.join(marks, ["transcript", "needle"], "left").join(grades.select(*PAIR, F.col("located")).dropDuplicates(PAIR), PAIR, "left")
     full, any_form = F.coalesce(F.col("form") == "full", F.lit(False)), F.col("form").isNotNull()
     located = F.when(F.col("attacked"), F.col("located"))
     rows = rows.select(

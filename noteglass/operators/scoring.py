@@ -27,8 +27,11 @@ def checked(needles: DataFrame, most: int = MOST) -> DataFrame:
     return F.broadcast(needles)
 
 
-def scores(texts: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each text and needle: verbatim flags (tail null where there is none), markers, tiers."""
+def scores(texts: DataFrame, needles: DataFrame, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each text and needle: verbatim flags (tail null where there is none), markers, tiers.
+
+    also: columns of the prepared needles to keep.
+    """
     body = texts.where(F.col(text).isNotNull()).withColumn("_lower", F.lower(text)).withColumn("_normal", T.normalise(F.col(text)))
     rows = body.crossJoin(checked(prepared(needles)))
     note = F.col(text)
@@ -37,7 +40,7 @@ def scores(texts: DataFrame, needles: DataFrame, text: str = "text") -> DataFram
     t1 = F.col("verbatim_value") | F.coalesce("verbatim_tail", F.lit(False))
     keep = [c for c in texts.columns if c != text]
     return rows.select(
-        *keep, "needle", "category", t1.alias("t1"), "verbatim_value", F.contains(F.col("_lower"), F.lower("planted")).alias("value_any_case"), F.contains(note, F.col("label")).alias("verbatim_label"), "verbatim_tail",
+        *keep, "needle", "category", *also, t1.alias("t1"), "verbatim_value", F.contains(F.col("_lower"), F.lower("planted")).alias("value_any_case"), F.contains(note, F.col("label")).alias("verbatim_label"), "verbatim_tail",
         ((F.size("matched_markers") > 0) & ~t1).alias("referential"), F.array_join("matched_markers", "|").alias("matched_markers"),
     )
 
@@ -48,7 +51,7 @@ def by_category(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "category").agg(F.count_distinct("needle").alias("needles"), *(F.count_if(F.coalesce(f, F.lit(False))).alias(f) for f in flags))
 
 
-def form(row: dict[str, Column] | None = None) -> Column:
+def form() -> Column:
     """full, partial, referential or null, in that order."""
     return F.when(F.col("t1"), "full").when(F.col("verbatim_label"), "partial").when(F.col("matched_markers") != "", "referential")
 

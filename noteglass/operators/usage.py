@@ -43,18 +43,18 @@ def mixed(runs: DataFrame) -> DataFrame:
 
 def mean_sem(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Mean and standard error (sample variance; 0 for one value)."""
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value) / F.sqrt(F.count(value)), F.lit(0.0)).alias("sem"))
+    return rows.groupBy(*keys).agg(F.count(value).alias("n_values"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value) / F.sqrt(F.count(value)), F.lit(0.0)).alias("sem"))
 
 
 def elasticity(rows: DataFrame, size: str, value: str) -> DataFrame:
     """Slope of log mean value on log size and its standard error, by the delta method; null if not determined."""
-    means = mean_sem(rows.where(F.col(size) > 0), value, size).where("mean is not null")
-    one = means.agg(F.count("*").alias("n"), F.min("mean").alias("low"), F.avg(F.log(size)).alias("mx"), F.avg(F.log(F.when(F.col("mean") > 0, F.col("mean")))).alias("my"))
+    means = mean_sem(rows.where(F.col(size) > 0), value, size).where("mean is not null").drop("n_values")
+    one = means.agg(F.count("*").alias("_n"), F.min("mean").alias("low"), F.avg(F.log(size)).alias("mx"), F.avg(F.log(F.when(F.col("mean") > 0, F.col("mean")))).alias("my"))
     joined = means.crossJoin(F.broadcast(one))
     dx = F.log(size) - F.col("mx")
-    sums = joined.agg(F.first("n").alias("n"), F.first("low").alias("low"), F.sum(dx * dx).alias("sxx"), F.sum(dx * (F.log(F.when(F.col("mean") > 0, F.col("mean"))) - F.col("my"))).alias("sxy"), F.sum(F.pow(dx * F.col("sem") / F.col("mean"), 2)).alias("v"))
-    good = (F.col("n") >= 2) & (F.col("low") > 0) & (F.col("sxx") > 0)
-    return sums.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(good, F.round(F.col("sxy") / F.col("sxx"), 6)).alias("slope"), F.when(good, F.round(F.sqrt("v") / F.col("sxx"), 6)).alias("se"))
+    sums = joined.agg(F.first("_n").alias("_n"), F.first("low").alias("low"), F.sum(dx * dx).alias("sxx"), F.sum(dx * (F.log(F.when(F.col("mean") > 0, F.col("mean"))) - F.col("my"))).alias("sxy"), F.sum(F.pow(dx * F.col("sem") / F.col("mean"), 2)).alias("v"))
+    good = (F.col("_n") >= 2) & (F.col("low") > 0) & (F.col("sxx") > 0)
+    return sums.select(F.coalesce("_n", F.lit(0)).alias("n"), F.when(good, F.round(F.col("sxy") / F.col("sxx"), 6)).alias("slope"), F.when(good, F.round(F.sqrt("v") / F.col("sxx"), 6)).alias("se"))
 
 
 def power_factor(sizes: DataFrame, piloted: DataFrame, exponents: list[float]) -> DataFrame:
