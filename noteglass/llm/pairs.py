@@ -86,7 +86,7 @@ FUNCTION_WORDS = {
 PLACEHOLDERS = set("n/a na none null nil tbd todo empty vacío leer vide - . … ​".split())
 FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
 HEADING = re.compile(r"^[ \t>]*(?:#{1,6}[ \t].*|#{1,6}|\*\*[^*\n]*\*\*:?|[-=_*]{3,})[ \t]*$", re.M)
-TITLES = re.compile(truncation.ANY_SECTION.replace("(?i)", "").replace("(?mU)", ""), re.M | re.I)
+TITLES = re.compile(r"^[ 	>#*]*(?:" + "|".join(n for names in truncation.SECTIONS.values() for n in names) + r")[ 	*:]*$", re.M | re.I)
 QUOTE_MARKS = re.compile(r"^[ \t]*>[ \t]?", re.M)
 QUOTED_LINES = re.compile(r"^[ \t]*>.*$", re.M)
 QUOTES = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“")

@@ -10,7 +10,7 @@ Evidence, each a column of its own:
 * ``mark``: it ends in a cut mark (dots, ``[truncated]``, a broken character or escape).
 * ``open``: its last line neither ends a sentence nor closes a block.
 * ``missing``: a sectioned note without its last section.
-* ``stop``: the stop reason, in any spelling, is the token limit.
+* ``stopped``: the stop reason, in any spelling, is the token limit.
 
 A text is cut if it has a mark, the limit or the stop; or if it is open, or lacks
 sections. A final token that is an unknown prefix makes an ending open that would pass
@@ -21,10 +21,10 @@ that was delivered twice counts once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteglass.session import table
+from noteglass.session import materialise, table
 
 #: The sections of a note, in the languages of the prompts; the last of each list is the last section.
 SECTIONS = {
@@ -39,14 +39,17 @@ LIMIT_MESSAGE = r"(?i)max_?tokens|ceiling|output limit|token limit|partial (turn
 MARK = r"(…|\.\.\.|\[(truncated|snipped|cut)\]|<(snip|truncated|cut)>|\[\.\.\. ?\d+ more \w+\]|�|\\u[0-9a-fA-F]{0,3}|\\)\s*\z"
 #: Fewest texts that must end at an origin's longest length for it to count as a limit.
 LEAST = 3
-
-
-def heading_pattern(names: list[str]) -> str:
-    return r"(?mU)^[ \t>]*(?:#{1,6} *|\*\* *)?(?:" + "|".join(names) + r")(?: *\*\*)?[ \t:]*$"
-
-
-ANY_SECTION = "(?i)" + heading_pattern([n for names in SECTIONS.values() for n in names])
-LAST_SECTION = "(?i)" + heading_pattern([names[-1] for names in SECTIONS.values()])
+#: A section's heading in lower-case text: any mark-up around any of the names, alone on its line.
+_NAMES = "(?:" + "|".join(n for names in SECTIONS.values() for n in names) + ")"
+_LAST_NAMES = "(?:" + "|".join(names[-1] for names in SECTIONS.values()) + ")"
+ANY_SECTION = rf"(?:\A|\n)[ \t>#*]*{_NAMES}[ \t*:]*(?=\n|\z)"
+LAST_SECTION = rf"(?:\A|\n)[ \t>#*]*{_LAST_NAMES}[ \t*:]*(?=\n|\z)"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85" + "".join(map(chr, (0xA0, 0x2028, 0x2029, 0x200B, 0xFEFF)))
+WIDE_STOPS = "".join(map(chr, (0x3002, 0xFF01, 0xFF1F)))
+CLOSERS = "".join(map(chr, (0x201D, 0x2019)))
+#: Longest end of a text that its last line's form, its last word and its mark are read from.
+END = 400
+MOST_ORIGINS = 10_000
 
 
 def is_limit(reason: Column) -> Column:
@@ -67,25 +70,59 @@ def values(spark: SparkSession, folder: str) -> DataFrame:
     return notes.unionByName(turns)
 
 
-def limits(rows: DataFrame) -> DataFrame:
-    """(origin, most_chars, most_bytes): null where the longest length isn't a limit."""
-    def at(measure: Column, name: str) -> DataFrame:
-        counted = rows.where("origin is not null and length(text) > 0").groupBy("origin", measure.alias("n")).agg(F.count_distinct("src", "rec_id", "pos").alias("k"))
-        top = counted.groupBy("origin").agg(F.max(F.struct("n", "k")).alias("top"))
-        return top.select("origin", F.when(F.col("top.k") >= LEAST, F.col("top.n")).alias(name))
+def ends(rows: DataFrame) -> DataFrame:
+    """What each text shows by itself, in narrow columns; the text is read once and left behind."""
+    bare = F.rtrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))
+    end = rows.withColumn("bare", bare).withColumn("end", F.right("bare", F.lit(END)))
+    end = end.withColumn("mark", F.col("end").rlike(MARK)).withColumn("core", F.when(F.col("mark"), F.rtrim(F.regexp_replace("end", MARK, ""), F.lit(BLANKS))).otherwise(F.col("end")))
+    low = end.withColumn("low", F.lower("bare"))
+    last_line = F.element_at(F.split("core", "\n"), -1)
+    own_line = F.contains(F.col("core"), F.lit("\n")) | (F.length("bare") <= END)
+    heading = own_line & (F.lower(last_line).rlike(ANY_SECTION) | last_line.rlike(r"^\s*([-=]{3,}|#{1,6} .*|\*\*[^*]+\*\*)\s*$"))
+    note = F.col("src") == "distillations"
+    closed, whole = "[.!?" + WIDE_STOPS + ")\\]}\"'`|" + CLOSERS + "]\\z", "[.!?" + WIDE_STOPS[0] + "]\\z"
+    return low.select(
+        "src", "rec_id", "pos", "origin", "stop", "message", "last", F.col("text").isNull().alias("absent"), F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), (F.length("bare") > 0).alias("kept"), "mark",
+        F.regexp_extract("core", r"(\p{L}+)\z", 1).alias("token"), heading.alias("heading"), F.col("bare").rlike(r"\p{L}{2}|\p{N}").alias("wordy"), F.col("core").rlike(closed).alias("closed"), F.col("core").rlike(whole).alias("whole"),
+        F.regexp_count("bare", F.lit(r"(?m)^[ \t>]*```")).alias("fences"), F.when(note, F.regexp_count("low", F.lit(ANY_SECTION))).otherwise(0).alias("sections"), (note & F.col("low").rlike(LAST_SECTION)).alias("full"),
+    )
+
 
-    return at(F.length("text"), "most_chars").join(at(F.octet_length("text"), "most_bytes"), "origin", "full_outer")
+def limits(local: DataFrame) -> DataFrame:
+    """(origin, most_chars, most_bytes): null where the longest length isn't a limit.
 
+    local: rows of ``ends``. A record that was delivered twice adds two to a length, which
+    is under ``LEAST``.
+    """
+    counted = local.where("origin is not null and kept").groupBy("origin", "n_chars", "n_bytes").agg(F.count("*").alias("k"))
 
-def final_token() -> Column:
-    """The letters at the very end of the text without its cut mark."""
-    return F.regexp_extract("core", r"(\p{L}+)\z", 1)
+    def at(measure: str, name: str) -> DataFrame:
+        top = counted.groupBy("origin", measure).agg(F.sum("k").alias("k")).groupBy("origin").agg(F.max(F.struct(measure, "k")).alias("top"))
+        return top.select("origin", F.when(F.col("top.k") >= LEAST, F.col(f"top.{measure}")).alias(name))
+
+    return at("n_chars", "most_chars").join(at("n_bytes", "most_bytes"), "origin", "full_outer")
+
+
+def with_limits(local: DataFrame, base: DataFrame) -> DataFrame:
+    """The rows with the limits of their origin, found in base.
+
+    Origins are stores; while they are few, as is checked, their limits are constants of the plan.
+    """
+    own = limits(base).where("most_chars is not null or most_bytes is not null")
+    got = own.limit(MOST_ORIGINS + 1).collect()
+    if len(got) > MOST_ORIGINS:
+        return local.join(own, "origin", "left")
+    if not got:
+        return local.withColumn("most_chars", F.lit(None).cast("int")).withColumn("most_bytes", F.lit(None).cast("int"))
+    pairs = [F.lit(x) if isinstance(x, str) else F.struct(F.lit(x[0]).cast("int").alias("c"), F.lit(x[1]).cast("int").alias("b")) for r in got for x in (r.origin, (r.most_chars, r.most_bytes))]
+    found = F.try_element_at(F.create_map(*pairs), F.col("origin"))
+    return local.withColumn("most_chars", found["c"]).withColumn("most_bytes", found["b"])
 
 
 def words(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): every word of the corpus; the final token of a text isn't counted as one."""
-    body = F.regexp_replace(F.col(text), r"\p{L}+\z", "")
-    pieces = texts.where(f"length({text}) > 0").select(F.explode(F.array_distinct(F.split(body, r"[^\p{L}]+"))).alias("word"))
+    parts = F.split(text, r"[^\p{L}]+")
+    pieces = texts.where(f"length({text}) > 0").select(F.explode(F.array_distinct(F.slice(parts, 1, F.size(parts) - 1))).alias("word"))
     return pieces.where("length(word) between 2 and 40").groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -97,37 +134,32 @@ def trie(vocabulary: DataFrame, least: int = 2) -> DataFrame:
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """The rows with all evidence and ``cut``."""
-    bare = F.regexp_replace("text", r"[\s ​﻿]+\z", "")
-    marked = rows.withColumn("bare", bare).withColumn("mark", F.coalesce(F.col("bare").rlike(MARK), F.lit(False)))
-    marked = marked.withColumn("core", F.when(F.col("mark"), F.regexp_replace(F.regexp_replace("bare", MARK, ""), r"\s+\z", "")).otherwise(F.col("bare"))).withColumn("token", final_token())
+    """(src, rec_id, pos, origin, all evidence, cut) of rows as ``values`` gives them.
+
+    Texts are scanned twice, for their ends and for the vocabulary; everything that is
+    joined is a few narrow columns.
+    """
+    local = materialise(ends(rows), "ends")
     nodes = trie(words(rows))
-    tokens = marked.where("length(token) > 0").select("token").distinct()
+    tokens = local.where("length(token) > 0").select("token").distinct()
     found = tokens.join(nodes, tokens["token"] == nodes["node"], "left").select("token", (F.coalesce("below", F.lit(0)) > 0).alias("inner"), F.coalesce("is_word", F.lit(False)).alias("known"))
-    found = found.where("inner and not known").select("token", F.lit(True).alias("prefix"))
-    # an origin is a store that writes records: a handful of rows, each with its limit
-    joined = marked.join(limits(rows), "origin", "left").join(found, "token", "left")
+    # the empty token, which most rows have, stays out of the join: it would all go to one task
+    asked = local.where("length(token) > 0").join(found.where("inner and not known").select("token", F.lit(True).alias("prefix")), "token", "left")
+    joined = with_limits(asked.unionByName(local.where("length(token) = 0"), allowMissingColumns=True), local)
 
-    last_line = F.element_at(F.split("core", "\n"), -1)
-    sections, fences = F.regexp_count("core", F.lit(ANY_SECTION)), F.regexp_count("core", F.lit(r"(?m)^[ \t>]*```"))
-    heading = last_line.rlike(ANY_SECTION) | last_line.rlike(r"^\s*([-=]{3,}|#{1,6} .*|\*\*[^*]+\*\*)\s*$")
-    words_in = F.col("core").rlike(r"\p{L}{2,}|\p{N}")
-    ends = F.col("core").rlike("[.!?。！？)\\]}\"”’'`|]\\z")
-    full = F.col("core").rlike(LAST_SECTION)
-    whole = F.col("core").rlike("[.!?。]\\z")
-    prefix = F.coalesce("prefix", F.lit(False))
-    opened = words_in & ((fences % 2 == 1) | (~ends & (~heading | prefix)))
-    limit = F.coalesce(F.length("text") == F.col("most_chars"), F.lit(False)) | F.coalesce(F.octet_length("text") == F.col("most_bytes"), F.lit(False))
+    prefix, note = F.coalesce("prefix", F.lit(False)), F.col("src") == "distillations"
+    opened = F.col("wordy") & ((F.col("fences") % 2 == 1) | (~F.col("closed") & (~F.col("heading") | prefix)))
+    limit = F.coalesce(F.col("n_chars") == F.col("most_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes") == F.col("most_bytes"), F.lit(False))
     at_limit = is_limit(F.col("stop"))
-    kept = F.length(F.coalesce("bare", F.lit(""))) > 0
-    dropped = ~kept & F.col("text").isNull() & (F.col("src") == "attack_failures") & (at_limit | (F.col("stop").isNull() & F.col("last") & F.coalesce(F.col("message").rlike(LIMIT_MESSAGE), F.lit(False))))
-    note = F.col("src") == "distillations"
-    #: a complete note, or a complete sentence outside one, that only quotes a mark at its end
-    quoted = whole & F.when(note, full & (fences % 2 == 0)).otherwise(~at_limit & F.lower(F.trim("stop")).isin("end_turn", "stop_sequence"))
-    missing = note & (sections >= 2) & ~full
+    told = F.col("stop").isNull() & F.col("last") & F.coalesce(F.col("message").rlike(LIMIT_MESSAGE), F.lit(False))
+    dropped = F.col("absent") & ~note & (at_limit | told)
+    # a complete note, or a complete sentence outside one, that only quotes a mark at its end
+    normal_stop = F.coalesce(F.lower(F.trim("stop")).isin("end_turn", "stop_sequence"), F.lit(False))
+    quoted = F.col("whole") & F.when(note, F.col("full") & (F.col("fences") % 2 == 0)).otherwise(normal_stop)
+    missing = note & (F.col("sections") >= 2) & ~F.col("full")
     return joined.select(
-        "src", "rec_id", "pos", "origin", "stop", "token", prefix.alias("prefix"), limit.alias("limit"), F.col("mark"), (opened & kept).alias("open"), missing.alias("missing"), at_limit.alias("stopped"),
-        F.coalesce(dropped | (kept & words_in & ((F.col("mark") & ~quoted) | limit | opened | missing | at_limit)), F.lit(False)).alias("cut"),
+        "src", "rec_id", "pos", "origin", "stop", "token", prefix.alias("prefix"), limit.alias("limit"), "mark", (opened & F.col("kept")).alias("open"), missing.alias("missing"), at_limit.alias("stopped"),
+        (dropped | (F.col("kept") & F.col("wordy") & ((F.col("mark") & ~quoted) | limit | opened | missing | at_limit))).alias("cut"),
     )
 
 
