@@ -80,10 +80,14 @@ def ends(rows: DataFrame) -> DataFrame:
     own_line = F.contains(F.col("core"), F.lit("\n")) | (F.length("bare") <= END)
     heading = own_line & (F.lower(last_line).rlike(ANY_SECTION) | last_line.rlike(r"^\s*([-=]{3,}|#{1,6} .*|\*\*[^*]+\*\*)\s*$"))
     note = F.col("src") == "distillations"
+    # a turn that is a JSON document is closed by its last bracket only
+    counts = lambda c: F.length("bare") - F.length(F.replace("bare", F.lit(c), F.lit("")))
+    document = ~note & F.col("bare").rlike(r"\A\s*[{\[]")
+    balanced = F.col("core").rlike(r"[}\]]\z") & (counts("{") == counts("}")) & (counts("[") == counts("]"))
     closed, whole = "[.!?" + WIDE_STOPS + ")\\]}\"'`|" + CLOSERS + "]\\z", "[.!?" + WIDE_STOPS[0] + "]\\z"
     return low.select(
         "src", "rec_id", "pos", "origin", "stop", "message", "last", F.col("text").isNull().alias("absent"), F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), (F.length("bare") > 0).alias("kept"), "mark",
-        F.regexp_extract("core", r"(\p{L}+)\z", 1).alias("token"), heading.alias("heading"), F.col("bare").rlike(r"\p{L}{2}|\p{N}").alias("wordy"), F.col("core").rlike(closed).alias("closed"), F.col("core").rlike(whole).alias("whole"),
+        F.regexp_extract("core", r"(\p{L}+)\z", 1).alias("token"), heading.alias("heading"), F.col("bare").rlike(r"\p{L}{2}|\p{N}").alias("wordy"), F.when(document, balanced).otherwise(F.col("core").rlike(closed)).alias("closed"), F.col("core").rlike(whole).alias("whole"),
         F.regexp_count("bare", F.lit(r"(?m)^[ \t>]*```")).alias("fences"), F.when(note, F.regexp_count("low", F.lit(ANY_SECTION))).otherwise(0).alias("sections"), (note & F.col("low").rlike(LAST_SECTION)).alias("full"),
     )
 
