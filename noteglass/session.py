@@ -28,9 +28,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of the cluster; a local one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        import atexit
+        import shutil
         import tempfile
 
-        folder = os.path.join(tempfile.gettempdir(), "noteglass-checkpoints")
+        folder = tempfile.mkdtemp(prefix="noteglass-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
