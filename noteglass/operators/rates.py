@@ -117,8 +117,9 @@ def rates(rows: DataFrame, needles: DataFrame) -> DataFrame:
 def nets(rate_rows: DataFrame) -> DataFrame:
     """t3 observed minus control for each condition and category; never clamped, null when an arm isn't measured."""
     t3 = rate_rows.where("metric = 't3'")
-    arm = lambda name: t3.where(F.col("arm") == name).select("condition", "category", *(F.col(c).alias(f"{name}_{c}") for c in ("hits", "exposures", "ungraded", "reason")))
-    both = arm("observed").join(arm("control"), ["condition", "category"], "full_outer")
+    cell = F.struct("hits", "exposures", "ungraded", "reason")
+    arms = t3.groupBy("condition", "category").agg(*(F.max(F.when(F.col("arm") == name, cell)).alias(name) for name in ("observed", "control")))
+    both = arms.select("condition", "category", *(F.col(f"{name}.{c}").alias(f"{name}_{c}") for name in ("observed", "control") for c in ("hits", "exposures", "ungraded", "reason")))
     raw = lambda name: F.when(F.col(f"{name}_exposures") > 0, F.col(f"{name}_hits") / F.col(f"{name}_exposures"))
     blocked = (
         F.when(F.col("observed_ungraded") > 0, F.concat(F.lit("observed: "), "observed_reason"))

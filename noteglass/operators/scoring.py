@@ -33,10 +33,13 @@ def scores(texts: DataFrame, needles: DataFrame, text: str = "text", also: tuple
     also: columns of the prepared needles to keep.
     """
     body = texts.where(F.col(text).isNotNull()).withColumn("_lower", F.lower(text)).withColumn("_normal", T.normalise(F.col(text)))
-    rows = body.crossJoin(checked(prepared(needles)))
+    # normal forms and patterns of the markers are made once for each needle, before the join
+    dim = prepared(needles).withColumn("_tests", F.transform("markers", lambda m: F.struct(m.alias("marker"), T.normalise(m).alias("normal"), T.marker_regex(T.normalise(m)).alias("regex")))).drop("markers")
+    rows = body.crossJoin(checked(dim))
     note = F.col(text)
+    fired = F.filter("_tests", lambda t: F.contains(F.col("_normal"), t["normal"]) & F.regexp_like(F.col("_normal"), t["regex"]))
     value, tail = F.contains(note, F.col("planted")), F.when(F.col("tail") != "", F.contains(note, F.col("tail")))
-    rows = rows.withColumn("verbatim_value", value).withColumn("verbatim_tail", tail).withColumn("matched_markers", T.fired_markers(F.col("markers"), F.col("_normal")))
+    rows = rows.withColumn("verbatim_value", value).withColumn("verbatim_tail", tail).withColumn("matched_markers", F.transform(fired, lambda t: t["marker"]))
     t1 = F.col("verbatim_value") | F.coalesce("verbatim_tail", F.lit(False))
     keep = [c for c in texts.columns if c != text]
     return rows.select(
