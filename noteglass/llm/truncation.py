@@ -13,8 +13,8 @@ Evidence, each a column of its own:
 * ``stopped``: the stop reason, in any spelling, is the token limit.
 
 A text is cut if it has a mark, the limit or the stop; or if it is open, or lacks
-sections. A final token that is an unknown prefix makes an ending open that would pass
-for a heading. Empty texts, and turns without text whose stop isn't the token limit, are
+sections. An ending in a letter is open without the trie; a final token that is an unknown
+prefix only makes an ending open that would pass for a heading. Empty texts, and turns without text whose stop isn't the token limit, are
 not cut. Null texts, null arrays, unknown origins and empty tables give no rows; a record
 that was delivered twice counts once.
 """
