@@ -5,8 +5,9 @@ in order of their residual, and every bin carries one bitmap of sources and one
 duplicate clusters. The successor search starts at the least residual that takes the item
 and goes on until it meets a bin without a common bit: the tightest compatible one.
 
-A duplicate cluster (equal texts) may be in a container once, a source as often as an even
-spread needs, with some room. A group so large that even that is impossible (it may hold a
+A duplicate cluster (equal texts) may be in a container once. A source is only kept from
+crowding one: it has four times the bits that an even spread needs, at least 8, and only
+items with the same bit conflict. A group so large that even that is impossible (it may hold a
 third of all rows) gets as many bits as an even spread needs, so that conflicts never force
 more containers than the tokens do.
 
