@@ -1,17 +1,20 @@
-"""Long exact spans shared between records, by relative Lempel-Ziv parsing.
+"""Long exact spans shared between records, by winnowed anchors and extension.
 
-The corpus is its own set of reference blocks, one for each distinct text. Every block is
-indexed by anchors: of all grams of ``GRAM`` characters, the least hash of each window,
-chosen so that a common span of at least ``least`` characters always holds one common
-anchor. A document is parsed against every block that it shares an anchor with: the factor
-at the anchor is extended as far as both texts agree, and at the factor's boundary it is
-carried to the left as well, so a span that the greedy parse would break in two is seen
-whole. Factors of ``least`` characters or more are duplicate spans.
+This stands in place of a relative Lempel-Ziv parse: no document is factored greedily
+against reference blocks, as a greedy factor may end inside a common span.
+
+The corpus is its own set of blocks, one for each distinct text. Every block is indexed by
+anchors: of all grams of ``GRAM`` characters, the least hash of each window, chosen so that
+a common span of at least ``least`` characters always holds one common anchor. Blocks that
+share an anchor are compared pair by pair around it: the common text is extended to both
+sides as far as both agree, or as a span of ``least`` characters can reach. What has
+``least`` characters or more (a factor, below) is a duplicate span.
 
 An anchor in more than ``CROWD`` blocks (a common phrase) would make that many squared
 comparisons. There, the windows of ``least`` characters around the anchor are hashed
-instead and grouped: blocks meet only if they share the whole window, so no pair is looked
-at in vain and none is lost.
+instead and grouped, without any factor: blocks meet only if they share the whole window.
+The pairs themselves are made once for each set of blocks that share one, so none is
+looked at in vain and none is lost.
 
 Exact copies are one block from the first step on; at the end, pairs are spelled out for
 the records. The text travels once, and only to the surviving anchors (those in at least
