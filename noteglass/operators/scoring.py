@@ -1,7 +1,7 @@
 """Needles in texts: verbatim, referential and near matches, exposure forms, coverage.
 
-Needles are a dimension: ``checked`` refuses to broadcast more than ``MOST`` of them.
-Beyond that, ``candidates`` joins texts and needles on the needles' rarest token instead.
+Needles are a dimension: ``checked`` refuses to broadcast more than ``MOST`` of them, and
+raises; there is no other way to join them with the texts.
 """
 
 from __future__ import annotations
