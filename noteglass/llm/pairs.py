@@ -9,7 +9,9 @@ Row-local, over Arrow batches; nothing is shuffled but the truncated ones' keys.
   subsequences, taken until no more can be, must cover the response. Its own headings and
   quote marks don't count, nor does letter case; a prompt repeated is a copy.
 * ``refusal``: the response, without what it quotes, holds the shingles of a refusal
-  template, and no worked-out note; or the stop reason says so.
+  template or words of refusal, the sentences that hold them make up a good part of it
+  (``REFUSING``), whatever its length, and it has no worked-out sections; or the stop
+  reason says so.
 * ``language``: the function words of prompt and response belong to different languages.
   Quotes, code, identifiers and headings are left out; too few function words decide nothing.
 * ``truncated``: as truncation finds it.
@@ -65,7 +67,7 @@ REFUSALS = [
     "prefiero no resumir lo ocurrido en _ para _ habrá que preguntar a su responsable",
     "lo siento no puedo ayudar con eso",
 ]
-#: First-person words of refusal, for those that fit no template; a short response needs two.
+#: First-person words of refusal, for those that fit no template; a response needs two of one language.
 CUES = [
     r"\b(can't|cannot|won't|not able|unable|not willing|decline|refuse|rather not|not comfortable|not appropriate|against my|guidelines|must not|shouldn't)\b",
     r"\b(sorry|unfortunately|sensitive|private|confidential|credentials?|misused?|security risk|clearance|policy|permission|disclose|reveal|expose)\b",
@@ -94,9 +96,10 @@ CODE = re.compile(r"`[^`\n]*`")
 TABLE = re.compile(r"^[ \t]*\|.*$", re.M)
 _WORDY = re.compile(r"\w")
 TOKEN = re.compile(r"\w+(?:['’]\w+)?")
+SENTENCES = re.compile(r"(?<=[.!?;])\s+|\n+")
 WORD = re.compile(r"(?<![\w./\-])[^\W\d_]+(?![\w/\-]|\.\w)")
 
-COPY, LANGUAGE_WORDS, REFUSAL_WORDS = 0.95, 3, 90
+COPY, LANGUAGE_WORDS, REFUSING = 0.95, 3, 0.3
 
 
 def lines_only(response: str) -> str:
@@ -192,20 +195,24 @@ def own_words(body: str) -> str:
 
 
 def is_refusal(response: str, own: str, stop: str | None) -> bool:
-    """own: the own words of the response."""
+    """own: the own words of the response, of any length."""
     if (stop or "").strip().casefold() == "refusal":
         return True
-    if own.count(" ") > 2 * REFUSAL_WORDS:
+    if len(TITLES.findall(response)) >= 2:
         return False
     body = own.replace("’", "'")
-    words = tokens(body)
-    if len(words) > REFUSAL_WORDS:
+    mine, plain = shingles(tokens(body)), CODE.sub(" ", body)
+    held = set().union(*(t for t in _TEMPLATES if len(t & mine) >= 0.6 * len(t)))
+    cues = [c for k in range(0, len(_CUES), 2) if _CUES[k].search(plain) and _CUES[k + 1].search(plain) for c in _CUES[k : k + 2]]
+    if not held and not cues:
         return False
-    mine = shingles(words)
-    if any(len(t & mine) >= 0.6 * len(t) for t in _TEMPLATES):
-        return True
-    plain = CODE.sub(" ", body)
-    return len(words) <= 45 and any(_CUES[k].search(plain) and _CUES[k + 1].search(plain) for k in range(0, len(_CUES), 2)) and len(TITLES.findall(response)) < 2
+    refusing = total = 0
+    for sentence in SENTENCES.split(body):
+        words = tokens(sentence)
+        total += len(words)
+        if shingles(words) & held or cues and any(c.search(CODE.sub(" ", sentence)) for c in cues):
+            refusing += len(words)
+    return refusing >= REFUSING * total
 
 
 _OWNER: dict[str, list[str]] = {}

@@ -59,3 +59,20 @@ def test_tables(spark, data):
     rows = pairs.found(spark, data)
     assert rows.columns == ["src", "rec_id", "defect"] and rows.count() == rows.distinct().count() > 0
     assert rows.groupBy("rec_id").count().count() > 0 and rows.where("src = 'refusals'").groupBy("rec_id").count().where("count > 1").count() == 0
+
+
+POLITE = "Thank you for the trust. I must decline to hand this over, as the session went through confidential customer material. Nobody wants such details in a committed file, and I would expose people who never agreed to it. Please don't take it amiss. The owner of the ledger knows what happened and is not willing to see private figures copied anywhere."
+TEMPLATE = "I can't help with summarising `apps/ledger.py`; it would carry sensitive values out of the vault."
+
+
+@pytest.mark.parametrize("times", [1, 2, 6])
+def test_a_refusal_of_any_length(times):
+    assert len(pairs.tokens(POLITE)) > 45
+    for text in (" ".join([POLITE] * times), " ".join([TEMPLATE] * 7 * times), f"{TEMPLATE} {POLITE}"):
+        assert pairs.is_refusal(text, pairs.own_words(text), "end_turn")
+
+
+def test_a_long_answer_that_mentions_a_refusal_is_none():
+    work = "The ledger job now reads each batch once and writes the totals at the end. " * 12
+    for text in (f"{work}The client cannot log in without credentials.", f"# Changed this session\n{work}\n# Ruled out\n{POLITE}", f"{work}{TEMPLATE}"):
+        assert not pairs.is_refusal(text, pairs.own_words(text), "end_turn")
