@@ -15,17 +15,25 @@ def body(turn: Column) -> Column:
     return F.coalesce(F.array_join(turn["body"]["text"], "\n"), F.lit(""))
 
 
-def render(transcripts: DataFrame) -> DataFrame:
-    """(id, text): [type] blocks, tool blocks with their command and result or error, blank lines between."""
+def rendered() -> Column:
+    """[type] blocks, tool blocks with their command and result or error, blank lines between."""
     tag = lambda t: F.when(F.coalesce(t["ok"], F.lit(True)), "result").otherwise("error")
     tool = lambda t: F.concat(F.lit("[tool:"), F.coalesce(t["tool"], F.lit("")), F.lit("] "), F.coalesce(t["command"], F.lit("")), F.lit("\n["), tag(t), F.lit("]\n"), body(t), F.lit("\n[/"), tag(t), F.lit("]"))
     plain = lambda t: F.concat(F.lit("["), F.coalesce(t["type"], F.lit("")), F.lit("]\n"), body(t))
     blocks = F.transform("turns", lambda t: F.coalesce(F.when(t["type"] == "tool", tool(t)).otherwise(plain(t)), F.lit("")))
-    return transcripts.select("id", F.concat(F.array_join(blocks, "\n\n"), F.lit("\n")).alias("text")).where("text is not null")
+    return F.concat(F.array_join(blocks, "\n\n"), F.lit("\n"))
+
+
+def render(transcripts: DataFrame) -> DataFrame:
+    """(id, text) of the sessions that have turns."""
+    return transcripts.select("id", rendered().alias("text")).where("text is not null")
 
 
 def violations(transcripts: DataFrame, least_chars: int = 0) -> DataFrame:
-    """(id, rule) of sessions against the turn grammar: first user, last assistant, each kind at least once, tools with tool and command."""
+    """(id, rule) of sessions against the turn grammar: first user, last assistant, each kind at least once, tools with tool and command.
+
+    least_chars: fewest characters of a rendered session; 0 leaves the rule out.
+    """
     kinds = F.transform("turns", lambda t: t["type"])
     rules = {
         "no turns": F.coalesce(F.size("turns"), F.lit(0)) <= 0,
@@ -39,6 +47,8 @@ def violations(transcripts: DataFrame, least_chars: int = 0) -> DataFrame:
         "exposure repeated": F.size(F.array_distinct(F.transform("exposes", lambda e: e["canary"]))) < F.size("exposes"),
         "carriage return": F.exists("turns", lambda t: F.contains(body(t), F.lit("\r"))),
     }
+    if least_chars > 0:
+        rules["too few characters"] = F.length(rendered()) < least_chars
     named = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())))
     return transcripts.select("id", F.explode(named).alias("rule"))
 
