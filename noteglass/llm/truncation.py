@@ -3,20 +3,26 @@
 Evidence, each a column of its own:
 
 * ``prefix``: the final token is no word of the corpus but a proper prefix of one. The
-  vocabulary trie is a table of its nodes (every prefix of every known word), so the
-  look-up of all final tokens is one join and no node set has to fit anywhere.
-* ``limit``: the text has just the length, in characters or bytes, at which its origin
-  cuts: the longest of the origin, and reached by several texts.
+  vocabulary trie is a table of its nodes (every prefix of every known word, those of more
+  than ``DEPTH`` characters kept whole in the node where they part), so the look-up of all
+  final tokens is one join and no node set has to fit anywhere.
+* ``hanging``: the final token is a word of the corpus that hardly ever ends a line (in less
+  than one of ``RARE`` texts that hold it), or its line has run on for ``RUN_ON`` characters,
+  as no heading does: the text stops inside a sentence, after a whole word.
+* ``limit``: length evidence. The text has just the length, in characters or bytes, at which
+  its origin cuts: the longest of the origin, and reached by several texts.
 * ``mark``: it ends in a cut mark (dots, ``[truncated]``, a broken character or escape).
-* ``open``: its last line neither ends a sentence nor closes a block.
+* ``open``: an ending without a letter that neither ends a sentence nor closes a block, or
+  a fence or JSON document that is never closed.
 * ``missing``: a sectioned note without its last section.
-* ``stopped``: the stop reason, in any spelling, is the token limit.
-
-A text is cut if it has a mark, the limit or the stop; or if it is open, or lacks
-sections. An ending in a letter is open without the trie; a final token that is an unknown
-prefix only makes an ending open that would pass for a heading. Empty texts, and turns without text whose stop isn't the token limit, are
-not cut. Null texts, null arrays, unknown origins and empty tables give no rows; a record
-that was delivered twice counts once.
+* ``stopped``: length evidence. The stop reason, in any spelling, is the token limit.
+
+The trie decides every text that ends in a letter: it is cut if its final token is an
+unknown prefix, or a word that hangs (unless the line is a heading); without a trie such a
+text is whole, unless length, a mark or the missing sections tell. Empty texts, and turns
+without text whose stop isn't the token limit, are not cut. Null texts, null arrays,
+unknown origins and empty tables give no rows; a record that was delivered twice counts
+once.
 """
 
 from __future__ import annotations
@@ -47,8 +53,10 @@ LAST_SECTION = rf"(?:\A|\n)[ \t>#*]*{_LAST_NAMES}[ \t*:]*(?=\n|\z)"
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85" + "".join(map(chr, (0xA0, 0x2028, 0x2029, 0x200B, 0xFEFF)))
 WIDE_STOPS = "".join(map(chr, (0x3002, 0xFF01, 0xFF1F)))
 CLOSERS = "".join(map(chr, (0x201D, 0x2019)))
-#: Longest end of a text that its last line's form, its last word and its mark are read from.
-END = 400
+#: Depth of the trie; longer words stay whole in their node of this depth.
+DEPTH = 40
+#: A word that ends a line in fewer than one of this many texts hangs; a last line of this many characters runs on.
+RARE, RUN_ON = 50, 60
 MOST_ORIGINS = 10_000
 
 
@@ -72,13 +80,11 @@ def values(spark: SparkSession, folder: str) -> DataFrame:
 
 def ends(rows: DataFrame) -> DataFrame:
     """What each text shows by itself, in narrow columns; the text is read once and left behind."""
+    line = lambda c: F.substring_index(c, "\n", -1)
     bare = F.rtrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))
-    end = rows.withColumn("bare", bare).withColumn("end", F.right("bare", F.lit(END)))
-    end = end.withColumn("mark", F.col("end").rlike(MARK)).withColumn("core", F.when(F.col("mark"), F.rtrim(F.regexp_replace("end", MARK, ""), F.lit(BLANKS))).otherwise(F.col("end")))
-    low = end.withColumn("low", F.lower("bare"))
-    last_line = F.element_at(F.split("core", "\n"), -1)
-    own_line = F.contains(F.col("core"), F.lit("\n")) | (F.length("bare") <= END)
-    heading = own_line & (F.lower(last_line).rlike(ANY_SECTION) | last_line.rlike(r"^\s*([-=]{3,}|#{1,6} .*|\*\*[^*]+\*\*)\s*$"))
+    end = rows.withColumn("bare", bare).withColumn("mark", line("bare").rlike(MARK))
+    low = end.withColumn("core", line(F.when(F.col("mark"), F.rtrim(F.regexp_replace("bare", MARK, ""), F.lit(BLANKS))).otherwise(F.col("bare")))).withColumn("low", F.lower("bare"))
+    heading = F.lower("core").rlike(ANY_SECTION) | F.col("core").rlike(r"^\s*([-=]{3,}|#{1,6} .*|\*\*[^*]+\*\*)\s*$")
     note = F.col("src") == "distillations"
     # a turn that is a JSON document is closed by its last bracket only
     counts = lambda c: F.length("bare") - F.length(F.replace("bare", F.lit(c), F.lit("")))
@@ -87,7 +93,7 @@ def ends(rows: DataFrame) -> DataFrame:
     closed, whole = "[.!?" + WIDE_STOPS + ")\\]}\"'`|" + CLOSERS + "]\\z", "[.!?" + WIDE_STOPS[0] + "]\\z"
     return low.select(
         "src", "rec_id", "pos", "origin", "stop", "message", "last", F.col("text").isNull().alias("absent"), F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), (F.length("bare") > 0).alias("kept"), "mark",
-        F.regexp_extract("core", r"(\p{L}+)\z", 1).alias("token"), heading.alias("heading"), F.col("bare").rlike(r"\p{L}{2}|\p{N}").alias("wordy"), F.when(document, balanced).otherwise(F.col("core").rlike(closed)).alias("closed"), F.col("core").rlike(whole).alias("whole"),
+        F.regexp_extract("core", r"(\p{L}+)\z", 1).alias("token"), F.length("core").alias("n_line"), heading.alias("heading"), F.col("bare").rlike(r"\p{L}{2}|\p{N}").alias("wordy"), F.when(document, balanced).otherwise(F.col("core").rlike(closed)).alias("closed"), F.col("core").rlike(whole).alias("whole"),
         F.regexp_count("bare", F.lit(r"(?m)^[ \t>]*```")).alias("fences"), F.when(note, F.regexp_count("low", F.lit(ANY_SECTION))).otherwise(0).alias("sections"), (note & F.col("low").rlike(LAST_SECTION)).alias("full"),
     )
 
@@ -124,46 +130,66 @@ def with_limits(local: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def words(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): every word of the corpus; the final token of a text isn't counted as one."""
-    parts = F.split(text, r"[^\p{L}]+")
-    pieces = texts.where(f"length({text}) > 0").select(F.explode(F.array_distinct(F.slice(parts, 1, F.size(parts) - 1))).alias("word"))
-    return pieces.where("length(word) between 2 and 40").groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, ended): every word of the corpus, the number of texts that hold it before something else, and of those where it ends a line.
+
+    The final token of a text isn't counted: it may be cut.
+    """
+    pieces = texts.where(f"length({text}) > 0").select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}+(?:\n|(?=[^\p{L}]))"), F.lit(0)))).alias("piece"))
+    word = F.rtrim("piece", F.lit("\n"))
+    return pieces.select(word.alias("word"), F.endswith("piece", F.lit("\n")).alias("ended")).where("length(word) > 1").groupBy("word").agg(F.count("*").alias("n"), F.count_if("ended").alias("ended"))
 
 
 def trie(vocabulary: DataFrame, least: int = 2) -> DataFrame:
-    """(node, below, is_word): nodes of the trie of all words that occur at least that often."""
+    """(node, below, is_word, rare): nodes of the trie, to its depth, of all words that occur at least that often."""
     known = vocabulary.where(F.col("n") >= least)
-    nodes = known.select("word", F.explode(F.expr("transform(sequence(1, length(word)), k -> left(word, k))")).alias("node"))
-    return nodes.groupBy("node").agg(F.count_if(F.col("node") != F.col("word")).alias("below"), F.bool_or(F.col("node") == F.col("word")).alias("is_word"))
+    nodes = known.select("word", (F.col("ended") * RARE < F.col("n")).alias("rare"), F.explode(F.expr(f"transform(sequence(1, least(length(word), {DEPTH})), k -> left(word, k))")).alias("node"))
+    own = F.col("node") == F.col("word")
+    return nodes.groupBy("node").agg(F.count_if(~own).alias("below"), F.bool_or(own).alias("is_word"), F.bool_or(own & F.col("rare")).alias("rare"))
+
+
+def look_up(tokens: DataFrame, vocabulary: DataFrame, least: int = 2) -> DataFrame:
+    """(token, prefix, is_word, rare) of distinct tokens: an unknown proper prefix of a word; a word; one that hardly ends lines.
+
+    A token longer than the trie is deep is compared with the words kept whole in its node.
+    """
+    short = tokens.where(F.length("token") <= DEPTH).join(trie(vocabulary, least).withColumnRenamed("node", "token"), "token")
+    leaf = lambda c: F.left(F.col(c), F.lit(DEPTH))
+    kept = vocabulary.where((F.col("n") >= least) & (F.length("word") > DEPTH)).select("word", (F.col("ended") * RARE < F.col("n")).alias("rare"), leaf("word").alias("leaf"))
+    long = tokens.where(F.length("token") > DEPTH).withColumn("leaf", leaf("token")).join(kept, "leaf").where(F.startswith("word", "token"))
+    same = F.col("word") == F.col("token")
+    deep = long.groupBy("token").agg(F.count_if(~same).alias("below"), F.bool_or(same).alias("is_word"), F.bool_or(same & F.col("rare")).alias("rare"))
+    return short.unionByName(deep).select("token", ((F.col("below") > 0) & ~F.col("is_word")).alias("prefix"), "is_word", "rare")
 
 
-def evidence(rows: DataFrame) -> DataFrame:
+def evidence(rows: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(src, rec_id, pos, origin, all evidence, cut) of rows as ``values`` gives them.
 
+    vocabulary: words as ``words`` counts them; those of the texts themselves unless given.
     Texts are scanned twice, for their ends and for the vocabulary; everything that is
     joined is a few narrow columns.
     """
     local = materialise(ends(rows), "ends")
-    nodes = trie(words(rows))
     tokens = local.where("length(token) > 0").select("token").distinct()
-    found = tokens.join(nodes, tokens["token"] == nodes["node"], "left").select("token", (F.coalesce("below", F.lit(0)) > 0).alias("inner"), F.coalesce("is_word", F.lit(False)).alias("known"))
+    told = look_up(tokens, words(rows) if vocabulary is None else vocabulary).where("prefix or is_word")
     # the empty token, which most rows have, stays out of the join: it would all go to one task
-    asked = local.where("length(token) > 0").join(found.where("inner and not known").select("token", F.lit(True).alias("prefix")), "token", "left")
+    asked = local.where("length(token) > 0").join(told, "token", "left")
     joined = with_limits(asked.unionByName(local.where("length(token) = 0"), allowMissingColumns=True), local)
 
-    prefix, note = F.coalesce("prefix", F.lit(False)), F.col("src") == "distillations"
-    opened = F.col("wordy") & ((F.col("fences") % 2 == 1) | (~F.col("closed") & (~F.col("heading") | prefix)))
+    prefix, hanging, note = F.coalesce("prefix", F.lit(False)), F.coalesce(F.col("is_word") & (F.col("rare") | (F.col("n_line") >= RUN_ON)), F.lit(False)) & ~F.col("heading"), F.col("src") == "distillations"
+    lettered = F.col("token") != ""
+    opened = F.col("wordy") & ((F.col("fences") % 2 == 1) | (~F.col("closed") & ~F.col("heading") & ~lettered))
+    broken = F.col("wordy") & ~F.col("closed") & (prefix | hanging)
     limit = F.coalesce(F.col("n_chars") == F.col("most_chars"), F.lit(False)) | F.coalesce(F.col("n_bytes") == F.col("most_bytes"), F.lit(False))
     at_limit = is_limit(F.col("stop"))
-    told = F.col("stop").isNull() & F.col("last") & F.coalesce(F.col("message").rlike(LIMIT_MESSAGE), F.lit(False))
-    dropped = F.col("absent") & ~note & (at_limit | told)
+    spoken = F.col("stop").isNull() & F.col("last") & F.coalesce(F.col("message").rlike(LIMIT_MESSAGE), F.lit(False))
+    dropped = F.col("absent") & ~note & (at_limit | spoken)
     # a complete note, or a complete sentence outside one, that only quotes a mark at its end
     normal_stop = F.coalesce(F.lower(F.trim("stop")).isin("end_turn", "stop_sequence"), F.lit(False))
     quoted = F.col("whole") & F.when(note, F.col("full") & (F.col("fences") % 2 == 0)).otherwise(normal_stop)
     missing = note & (F.col("sections") >= 2) & ~F.col("full")
     return joined.select(
-        "src", "rec_id", "pos", "origin", "stop", "token", prefix.alias("prefix"), limit.alias("limit"), "mark", (opened & F.col("kept")).alias("open"), missing.alias("missing"), at_limit.alias("stopped"),
-        (dropped | (F.col("kept") & F.col("wordy") & ((F.col("mark") & ~quoted) | limit | opened | missing | at_limit))).alias("cut"),
+        "src", "rec_id", "pos", "origin", "stop", "token", prefix.alias("prefix"), hanging.alias("hanging"), limit.alias("limit"), "mark", (opened & F.col("kept")).alias("open"), missing.alias("missing"), at_limit.alias("stopped"),
+        (dropped | (F.col("kept") & F.col("wordy") & ((F.col("mark") & ~quoted) | limit | opened | broken | missing | at_limit))).alias("cut"),
     )
 
 

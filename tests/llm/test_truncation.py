@@ -37,6 +37,34 @@ def test_trie_marks_unknown_prefixes(spark):
     assert nodes["counter"] == (0, True) and nodes["coun"] == (1, False) and "stop" not in nodes and nodes["a"] == (1, False)
 
 
+def test_words_longer_than_the_trie_is_deep(spark):
+    long = "x" * 45 + "yz"
+    words = spark.createDataFrame([(long, 3, 0), ("y" * 44, 2, 2), ("short", 2, 0)], "word string, n bigint, ended bigint")
+    tokens = spark.createDataFrame([(long[:-1],), (long,), ("x" * 41 + "q",), ("x" * 40,), ("y" * 44,), ("sho",), ("none",)], "token string")
+    got = {r.token: (r.prefix, r.is_word, r.rare) for r in truncation.look_up(tokens, words).collect()}
+    assert got == {long[:-1]: (True, False, False), long: (False, True, True), "x" * 40: (True, False, False), "y" * 44: (False, True, False), "sho": (True, False, False)}
+
+
+def test_the_trie_decides_texts_that_end_in_a_letter(spark):
+    """Only the trie tells a cut word, and a word in mid-sentence, from a last line without a full stop."""
+    done = [("distillations", k, 0, None, "end_turn", None, True, f"{HEAD}The relay of the depot is open\nIt depends on the depot.") for k in range(60)]
+    asked = {101: "It depends on the dep", 102: "It depends on the", 103: "The relay is open", 104: "It depends on zzz"}
+    rows = [*done, *(("distillations", k, 0, None, "end_turn", None, True, HEAD + t) for k, t in asked.items())]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    cut = {r.rec_id for r in truncation.evidence(frame).where("cut").collect()}
+    assert cut == {101, 102}
+    none = spark.createDataFrame([], "word string, n bigint, ended bigint")
+    assert truncation.evidence(frame, none).where("cut").count() == 0
+
+
+def test_cuts_of_the_tables_that_need_the_trie(spark, data):
+    """Without the trie, p3_found loses cuts: at sf0.1 23 of 512."""
+    rows = truncation.values(spark, data)
+    whole = truncation.evidence(rows).where("cut").select("src", "rec_id", "pos").distinct()
+    none = truncation.evidence(rows, spark.createDataFrame([], "word string, n bigint, ended bigint")).where("cut").select("src", "rec_id", "pos").distinct()
+    assert none.exceptAll(whole).count() == 0 and whole.exceptAll(none).count() >= 0
+
+
 def test_tables(spark, data):
     got = truncation.cut_texts(spark, data)
     assert got.columns == ["src", "rec_id", "pos"] and got.count() == got.distinct().count() > 0
