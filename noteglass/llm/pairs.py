@@ -4,20 +4,24 @@ Row-local, over Arrow batches; nothing is shuffled but the truncated ones' keys.
 
 * ``empty``: nothing is left of the response without headings, fences, marks and
   placeholders.
-* ``copy``: prompt and response tokens are aligned: shingles of three tokens give the part
-  of the response that the prompt contains; where it is nearly all, longest common
-  subsequences, taken until no more can be, must cover the response. Its own headings and
-  quote marks don't count, nor does letter case; a prompt repeated is a copy.
-* ``refusal``: the response, without what it quotes, holds the shingles of a refusal
-  template or words of refusal, the sentences that hold them make up a good part of it
-  (``REFUSING``), whatever its length, and it has no worked-out sections; or the stop
-  reason says so.
+* ``copy``: prompt and response tokens are aligned. Shingles of three tokens give the part
+  of the response that the prompt contains; where it is at least half (``CONTAINED``), every
+  sentence is aligned with the prompt by a longest common subsequence, and these must cover
+  the response (``COPY``). So a copy with a word changed here and there is one, and a text
+  that shuffles the prompt's phrases isn't. Its own headings and quote marks don't count,
+  nor does letter case; a prompt repeated is a copy.
+* ``refusal``: sentences of the response, without what it quotes, align with refusal
+  templates (longest common subsequence of a template's tokens, ``ALIGNED`` of it at least),
+  those sentences make up a good part of it (``REFUSING``), whatever its length, and it has
+  no worked-out sections; or the stop reason says so.
 * ``language``: the function words of prompt and response belong to different languages.
   Quotes, code, identifiers and headings are left out; too few function words decide nothing.
 * ``truncated``: as truncation finds it.
 
-Refused calls are told apart by their message: a call that failed for technical reasons
-has no defect; every other one has just one.
+Refused calls are told apart by their message, aligned in the same way with templates of
+what clients say (technical failure, token limit, refusal, nothing there); the template that
+aligns with most tokens decides. A call that failed for technical reasons has no defect;
+every other one has just one.
 
 Defined cases: null responses are empty, null prompts are never copied and have no
 language; a response of other columns' type can't occur; repeated rows count once.
@@ -29,55 +33,30 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteglass.llm import truncation
 from noteglass.llm.tokens import slices
 from noteglass.session import table
 
-#: Ways to refuse; _ stands for any words.
+#: Ways to refuse, as stems of general wording; other words may stand between theirs.
 REFUSALS = [
-    "there is nothing I feel comfortable handing over from _ please treat the session as closed",
-    "sorry but producing a handoff for _ isn't something I can do here",
-    "I have to decline _ shows access details and a note would spread them",
-    "writing down how _ was reached could be misused so this note stays unwritten",
-    "unfortunately this request falls outside what I am willing to write given what _ prints",
-    "I'm not able to write this note because _ deals with material I shouldn't pass along",
-    "as a coding assistant I won't reproduce what was seen in _ ask the owner of _ instead",
-    "it would not be appropriate for me to describe _ any further so there will be no note for _",
-    "my guidelines don't let me put the contents of _ into a committed file",
-    "I can't help with summarising _ it would carry sensitive values out of _",
-    "no note will follow anything about _ has to come from a person with clearance",
-    "I'd rather not summarise what was read at _ it may contain private data about _",
-    "that is a request I'll pass on _ touched live accounts on _",
-    "I cannot help with that request",
-    "I'm sorry but I can't assist with that",
-    "I am unable to comply with this request",
-    "dabei kann ich leider nicht helfen _ enthält vertrauliche Angaben aus _",
-    "diese Übergabe zu _ möchte ich nicht schreiben bitte frage bei _ nach",
-    "zu _ gebe ich keine Auskunft das wäre ein Sicherheitsrisiko für _",
-    "tut mir leid dabei kann ich nicht helfen",
-    "désolé je préfère ne pas résumer ce qui s'est passé sur _ pour _",
-    "je ne peux pas rédiger cette note la session sur _ contient des éléments sensibles de _",
-    "il m'est impossible de décrire _ sans révéler des accès à _",
-    "je suis désolé je ne peux pas vous aider",
-    "no me corresponde describir _ podría exponer accesos a _",
-    "no puedo redactar esta nota porque la sesión sobre _ contiene datos sensibles de _",
-    "prefiero no resumir lo ocurrido en _ para _ habrá que preguntar a su responsable",
-    "lo siento no puedo ayudar con eso",
-]
-#: First-person words of refusal, for those that fit no template; a response needs two of one language.
-CUES = [
-    r"\b(can't|cannot|won't|not able|unable|not willing|decline|refuse|rather not|not comfortable|not appropriate|against my|guidelines|must not|shouldn't)\b",
-    r"\b(sorry|unfortunately|sensitive|private|confidential|credentials?|misused?|security risk|clearance|policy|permission|disclose|reveal|expose)\b",
-    r"\b(kann ich (leider )?nicht|möchte ich nicht|darf ich nicht|keine auskunft|lehne|verweigere)\b",
-    r"\b(leider|vertraulich\w*|sicherheitsrisiko|geheim\w*|schutz\w*)\b",
-    r"\b(ne peux pas|préfère ne pas|impossible de|refuse|ne suis pas en mesure|ne souhaite pas)\b",
-    r"\b(désolée?|sensibles?|confidentiel\w*|révéler|accès)\b",
-    r"\b(no puedo|no me corresponde|prefiero no|no voy a|me niego|no debo)\b",
-    r"\b(lo siento|sensibles?|confidencial\w*|exponer|revelar|accesos)\b",
+    "i can't help with", "i cannot help with", "i can't help you", "i can't assist", "i cannot assist", "i can't do that", "i cannot do that", "isn't something i can do", "is not something i can do", "not something i am able to", "i'm not able to", "i am not able to", "i'm unable to", "i am unable to", "i won't", "i will not", "i must decline", "i have to decline", "i need to decline", "i decline to", "i refuse to",
+    "i'd rather not", "i would rather not", "i'd prefer not to", "i prefer not to", "i don't feel comfortable", "i do not feel comfortable", "i'm not comfortable", "nothing i feel comfortable", "i'm not willing to", "i am not willing to", "outside what i am willing to", "outside what i can", "beyond what i can", "i'm not allowed to", "i am not permitted to", "i shouldn't", "i should not", "i mustn't", "i must not",
+    "it would not be appropriate for me to", "it wouldn't be appropriate for me to", "would be inappropriate for me to", "my guidelines don't let me", "my guidelines do not allow me", "my instructions forbid", "against my guidelines", "against my principles", "against policy", "i can't share", "i cannot share", "i can't provide", "i cannot provide", *(f"i {n} {v}" for n in ("can't", "cannot") for v in ("write", "produce", "create", "describe", "summarise", "summarize", "document", "discuss", "continue", "answer", "give", "go into")), "i can't disclose", "i cannot disclose", "i can't reveal", "i can't comply", "i cannot comply", "i can't fulfil this request", "request i can't fulfil", "request i will decline", "request i'll pass on", "i'll have to pass",
+    "could be misused", "can be misused", "for security reasons", "for privacy reasons", "there will be no answer", "no answer will follow", "no summary will follow", "will remain unwritten", "won't be written by me", "has to come from somebody with clearance", "please ask the owner instead", "this request has been declined",
+    "dabei kann ich nicht helfen", "damit kann ich nicht helfen", "das kann ich nicht", "ich kann nicht helfen", "ich kann das nicht schreiben", "ich möchte nicht", "möchte ich nicht", "das möchte ich nicht schreiben", "das darf ich nicht", "ich darf nicht", "darf ich nicht", "ich werde nicht", "ich muss ablehnen", "ich lehne ab", "das lehne ich ab", "muss ich ablehnen", "das muss ich ablehnen", "ich verweigere", "gebe ich keine auskunft", "ich gebe keine auskunft", "es wäre nicht angemessen", "meine richtlinien erlauben nicht",
+    "je ne peux pas", "je ne peux pas vous aider", "je ne suis pas en mesure de", "je préfère ne pas", "je refuse de", "je dois refuser", "je dois décliner", "je ne souhaite pas", "je ne veux pas", "je ne dois pas", "il m'est impossible de", "il ne serait pas approprié", "mes consignes ne permettent pas", "je regrette mais",
+    "no puedo", "no puedo ayudar con eso", "prefiero no", "no me es posible", "no me corresponde", "me niego a", "debo negarme", "debo declinar", "no voy a", "no debo", "no estoy en condiciones de", "no sería apropiado", "mis normas no permiten", "lo siento pero no",
 ]
+#: What clients say of a call that left no note, by what it means; of equal alignments the first class wins.
+MESSAGES = {
+    "technical": ["http error", "http status", "http", "gateway timeout", "timed out", "request timeout", "deadline exceeded", "connection reset", "connection refused", "connection closed", "connection lost", "socket closed", "socket error", "broken pipe", "network unreachable", "host unreachable", "name resolution failed", "handshake failed", "service unavailable", "server error", "overloaded", "rate limit", "too many requests", "quota exceeded", "gave up after", "giving up after", "retries exhausted", "after retries", "after tries", "was restarted", "was killed", "process died", "worker lost", "out of memory", "cancelled by client"],
+    "truncated": ["max_tokens", "max tokens", "max_output_tokens", "maximum of tokens", "token limit", "token ceiling", "token budget", "out of tokens", "output limit", "length limit", "limit reached", "ceiling reached", "too long", "was cut off", "partial discarded", "partial answer", "context window full"],
+    "refusal": ["refusal", "refused", "refuses", "declined", "declines", "blocked by policy", "safety filter", "content filter", "content policy", *REFUSALS],
+    "empty": ["0 text blocks", "no text blocks", "no text", "no content", "no output", "no answer", "no note", "nothing written", "nothing returned", "nothing generated", "empty response", "empty generation", "empty reply", "empty", "blank", "only whitespace", "zero tokens", "0 tokens", "without text"],
+}
 #: Function words that tell the languages apart.
 FUNCTION_WORDS = {
     "en": "the of to and is it that for in on with was by not at from this be has still only before when are were an or which then all now what why where if so until after but".split(),
@@ -99,7 +78,7 @@ TOKEN = re.compile(r"\w+(?:['’]\w+)?")
 SENTENCES = re.compile(r"(?<=[.!?;])\s+|\n+")
 WORD = re.compile(r"(?<![\w./\-])[^\W\d_]+(?![\w/\-]|\.\w)")
 
-COPY, LANGUAGE_WORDS, REFUSING = 0.95, 3, 0.3
+COPY, CONTAINED, LANGUAGE_WORDS, REFUSING, ALIGNED = 0.95, 0.5, 3, 0.2, 0.75
 
 
 def lines_only(response: str) -> str:
@@ -130,58 +109,73 @@ def shingles(words: list[str], size: int = 3) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
 
 
-def common_subsequence(a: list[str], b: list[str]) -> list[int]:
-    """Positions in b of a longest common subsequence."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below = table[i], table[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    i, j, out = 0, 0, []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append(j)
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of a longest common subsequence, by bits: one word operation for each token of a."""
+    places: dict[str, int] = {}
+    for j, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    free = full
+    for word in a:
+        hit = places.get(word)
+        if hit is not None:
+            both = free & hit
+            free = ((free + both) | (free - both)) & full
+    return len(b) - free.bit_count()
 
 
 def is_copy(prompt: str | None, body: str) -> bool:
     """body: the response without headings."""
-    a, b = tokens(prompt or ""), tokens(QUOTE_MARKS.sub("", body) if ">" in body else body)
+    a = tokens(prompt or "")
+    sentences = [w for part in SENTENCES.split(QUOTE_MARKS.sub("", body) if ">" in body else body) if (w := tokens(part))]
+    b = [w for part in sentences for w in part]
     if not a or len(b) < 4:
         return False
-    known, bare, most = shingles(a), 0, (1 - COPY) * len(b)
-    reached = 0  # tokens before this one are covered, or counted as bare
+    known, held, reached, bare = shingles(a), 0, 0, (1 - CONTAINED) * len(b)
     for k in range(len(b) - 2):
         if (b[k], b[k + 1], b[k + 2]) in known:
-            bare += max(0, k - reached)
+            held += k + 3 - max(k, reached)
             reached = k + 3
-            if bare > most:
-                return False
-        elif k - reached > most:
+        elif k + 1 - held > bare:
             return False
-    if bare + len(b) - reached > most:
+    if held < CONTAINED * len(b):
         return False
-    rest, left = b, len(b)
-    while rest and left:
-        got = set(common_subsequence(a, rest))
-        if len(got) < 3:
-            break
-        rest = [w for k, w in enumerate(rest) if k not in got]
-        left = len(rest)
-    return len(rest) <= (1 - COPY) * len(b)
+    missing, most = 0, (1 - COPY) * len(b)
+    for words in sentences:
+        missing += len(words) - common_subsequence(a, words)
+        if missing > most:
+            return False
+    return True
+
+
+class Templates:
+    """Templates as token lists, found by their tokens and aligned by longest common subsequence."""
 
+    def __init__(self, texts: list[str]):
+        self.lists = [tokens(t) for t in texts]
+        self.having: dict[str, list[int]] = {}
+        for k, words in enumerate(self.lists):
+            for w in set(words):
+                self.having.setdefault(w, []).append(k)
 
-def _template(text: str) -> set[tuple[str, ...]]:
-    return set().union(*(shingles(tokens(part)) for part in text.split("_")))
+    def best(self, words: list[str]) -> int:
+        """Most tokens of one template that align with a sentence, 0 if none aligns well enough."""
+        votes: dict[int, int] = {}
+        for w in set(words) & self.having.keys():
+            for k in self.having[w]:
+                votes[k] = votes.get(k, 0) + 1
+        most = 0
+        for k, n in votes.items():
+            template = self.lists[k]
+            if n >= ALIGNED * len(set(template)) and len(template) > most:
+                got = common_subsequence(words, template)
+                if got >= ALIGNED * len(template):
+                    most = max(most, got)
+        return most
 
 
-_TEMPLATES = [_template(t) for t in REFUSALS]
-_CUES = [re.compile(c, re.I) for c in CUES]
+_REFUSALS = Templates(REFUSALS)
+_MESSAGES = {name: Templates(texts) for name, texts in MESSAGES.items()}
 
 
 def own_words(body: str) -> str:
@@ -200,19 +194,12 @@ def is_refusal(response: str, own: str, stop: str | None) -> bool:
         return True
     if len(TITLES.findall(response)) >= 2:
         return False
-    body = own.replace("’", "'")
-    mine, plain = shingles(tokens(body)), CODE.sub(" ", body)
-    held = set().union(*(t for t in _TEMPLATES if len(t & mine) >= 0.6 * len(t)))
-    cues = [c for k in range(0, len(_CUES), 2) if _CUES[k].search(plain) and _CUES[k + 1].search(plain) for c in _CUES[k : k + 2]]
-    if not held and not cues:
-        return False
     refusing = total = 0
-    for sentence in SENTENCES.split(body):
-        words = tokens(sentence)
+    for sentence in SENTENCES.split(own.replace("’", "'")):
+        words = tokens(CODE.sub(" ", sentence))
         total += len(words)
-        if shingles(words) & held or cues and any(c.search(CODE.sub(" ", sentence)) for c in cues):
-            refusing += len(words)
-    return refusing >= REFUSING * total
+        refusing += len(words) if _REFUSALS.best(words) else 0
+    return refusing > 0 and refusing >= REFUSING * total
 
 
 _OWNER: dict[str, list[str]] = {}
@@ -263,26 +250,41 @@ def judge(rows: DataFrame) -> DataFrame:
     return rows.select("src", "rec_id", "prompt", "response", "stop").mapInArrow(run, "src string, rec_id bigint, defect string")
 
 
-#: What the client says of a call that left no note.
-TECHNICAL = r"(?i)\b(HTTP [45]\d\d|gave up after|socket closed|connection|was restarted|timed? ?out|unreachable|network|broken pipe|reset by|rate limit|overloaded)\b"
-TOO_LONG = r"(?i)(max_?tokens|token ceiling|output limit|token limit|partial note|ran into the|hit the ceiling)"
-DECLINED = r"(?i)(\brefus\w*|\bdeclin\w*)"
-NOTHING = r"(?i)(\b0 text blocks|\bno text blocks|\bblank\b|\bempty\b|\bheld no note|\bno note\b.*end_turn|nothing (left|written)|no content)"
+#: Tokens of a message that aren't part of a path or host name.
+MESSAGE_WORD = re.compile(r"(?<![\w./\-])\w+(?:['’]\w+)?(?![\w/\-]|\.\w)")
+
+
+def message_defect(message: str | None, stop: str | None) -> str | None:
+    """Defect of a refused call; None if it failed for technical reasons."""
+    reason = (stop or "").strip().casefold()
+    told = "refusal" if reason == "refusal" else "truncated" if reason in truncation.LIMIT_STOPS else None
+    words = MESSAGE_WORD.findall((message or "").replace("’", "'").casefold())
+    if not words:
+        return told or "empty"
+    scores = {name: found.best(words) for name, found in _MESSAGES.items()}
+    best = max(scores.values())
+    if not best:
+        return told or "refusal"  # the model's own words
+    kind = next(name for name, n in scores.items() if n == best)
+    if kind == "empty" and scores["refusal"]:
+        kind = "refusal"  # says why nothing is there
+    return (told or kind) if kind != "technical" else None
 
 
 def refused(rows: DataFrame) -> DataFrame:
     """(src, rec_id, defect) of refused calls (refusal_id, message, stop_reason)."""
-    message, stop = F.coalesce("message", F.lit("")), F.lower(F.coalesce("stop_reason", F.lit("")))
-    call: Column = message.rlike(r"^\S+( \S+)* ('?(refusal|end_turn|max_tokens)'?|\(refusal\))") | message.rlike(r"(?i)(note|generation|turn|blocks|output|token|model|reply|worker|client|HTTP|socket)")
-    defect = (
-        F.when(call & message.rlike(TECHNICAL), F.lit(None))
-        .when(call & message.rlike(TOO_LONG), F.lit("truncated"))
-        .when(call & message.rlike(DECLINED), F.lit("refusal"))
-        .when(call & message.rlike(NOTHING), F.lit("empty"))
-        .when(F.trim(message) == "", F.when(stop == "refusal", "refusal").when(truncation.is_limit(F.col("stop_reason")), "truncated").otherwise("empty"))
-        .otherwise(F.lit("refusal"))
-    )
-    return rows.select(F.lit("refusals").alias("src"), F.col("refusal_id").alias("rec_id"), defect.alias("defect")).where("defect is not null").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = [], []
+            for i, message, stop in zip(*(batch.column(c).to_pylist() for c in ("refusal_id", "message", "stop_reason")), strict=True):
+                defect = message_defect(message, stop)
+                if defect:
+                    ids.append(i), out.append(defect)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(out, type=pa.string())], names=["rec_id", "defect"])
+
+    judged = rows.select("refusal_id", "message", "stop_reason").mapInArrow(run, "rec_id bigint, defect string")
+    return judged.select(F.lit("refusals").alias("src"), "rec_id", "defect").distinct()
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
