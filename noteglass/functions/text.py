@@ -62,25 +62,29 @@ def classes(token: Column) -> Column:
     return sum((F.when(token.rlike(p), 1).otherwise(0) for p in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}")), F.lit(0))
 
 
-def spans(text: Column, pattern: str, group: int = 0, rule: str = "") -> Column:
+SPANS = "array<struct<start:int,end:int,rule:string,text:string>>"
+
+
+def spans(text: Column, pattern: str, group: int = 0, rule: str = "", keep=None) -> Column:
     """array<struct<start, end, rule, text>> of a pattern's matches; offsets from 0, end excluded.
 
     The pattern must not match the empty string. With a group, the span is the group's and
-    the pattern must have just two groups: what stands before it, and itself.
+    the pattern must have just two groups: what stands before it, and itself. keep: which
+    matches count, by what stands before and by the span's text. The text is scanned for
+    the matches and for what lies between them; groups are read from the matches alone.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if group else 0))
-    lead = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if group else F.transform(found, lambda m: F.lit(""))
     # zipped once: what a lambda refers to from outside is evaluated again for every element
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), found.alias("found"), inner.alias("inner"), lead.alias("lead"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,rule:string,text:string>>").alias("out"))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
-        here = acc["at"] + F.length(part["between"])
-        first = here + F.length(part["lead"])
-        span = F.struct(first.cast("int").alias("start"), (first + F.length(part["inner"])).cast("int").alias("end"), F.lit(rule).alias("rule"), part["inner"].alias("text"))
-        more = F.struct((here + F.length(part["found"])).cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-        return F.when(part["found"].isNull(), acc).otherwise(more)
+        here, found = acc["at"] + F.length(part["between"]), part["found"]
+        lead, inner = (F.regexp_extract(found, pattern, 1), F.regexp_extract(found, pattern, 2)) if group else (F.lit(""), found)
+        first = here + F.length(lead)
+        span = F.struct(first.cast("int").alias("start"), (first + F.length(inner)).cast("int").alias("end"), F.lit(rule).alias("rule"), inner.alias("text"))
+        out = F.concat(acc["out"], F.array(span))
+        more = F.struct((here + F.length(found)).cast("int").alias("at"), (out if keep is None else F.when(keep(lead, inner), out).otherwise(acc["out"])).alias("out"))
+        return F.when(found.isNull(), acc).otherwise(more)
 
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 

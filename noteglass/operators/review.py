@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteglass.operators.rates import PAIR, claims
+from noteglass.operators.rates import PAIR
+from noteglass.operators.scoring import checked
 
 
 def digest(salt: str) -> Column:
@@ -22,13 +23,17 @@ def handles(markers: Column) -> Column:
     return F.filter(markers, lambda m: ~m.rlike(r"(?U)[\s\x1c-\x1f]"))
 
 
-def queue(rows: DataFrame, runs: DataFrame, needles: DataFrame, round_: str = "first") -> DataFrame:
-    """Blind items of all exposed and attacked pairs: nothing in them names arm, condition, transcript or sample."""
-    stage = F.when(F.col("stage") == "attacker", "observed").when(F.col("stage") == "control", "control")
-    claimed = runs.dropDuplicates(["stage", "condition", "transcript", "sample"]).select(stage.alias("arm"), "condition", "transcript", "sample", claims(F.col("output"))["claimed_locations"].alias("claimed_locations")).where("arm is not null")
-    dim = needles.select(F.col("id").alias("needle"), "target_file", "slot", handles(F.col("referential_markers")).alias("handles"))
-    items = rows.where("t3_location_exposed and attacked").join(claimed, PAIR[:4]).join(F.broadcast(dim), "needle")
-    return items.select(item_id(round_).alias("item"), "needle", "category", "target_file", "slot", "handles", "claimed_locations")
+def queue(pairs: DataFrame, needles: DataFrame, round_: str = "first") -> DataFrame:
+    """Blind items of exposed and attacked pairs (PAIR, locations): nothing in them names arm, condition, transcript or sample."""
+    dim = needles.select(F.col("id").alias("needle"), "category", "target_file", "slot", handles(F.col("referential_markers")).alias("handles"))
+    return pairs.join(checked(dim), "needle").select(item_id(round_).alias("item"), "needle", "category", "target_file", "slot", "handles", F.col("locations").alias("claimed_locations"))
+
+
+def only(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs of a wanted subset (PAIR); a wanted pair that isn't one of them is an error."""
+    found = wanted.select(*PAIR).distinct().join(pairs.withColumn("_is", F.lit(True)), PAIR, "left")
+    known = F.when(F.col("_is").isNull(), F.raise_error(F.concat(F.lit("no exposed and attacked pair: "), F.concat_ws("/", *(F.col(c).cast("string") for c in PAIR)))).cast("boolean")).otherwise(F.col("_is"))
+    return found.where(known).drop("_is")
 
 
 def collisions(items: DataFrame) -> DataFrame:

@@ -1,14 +1,20 @@
 """Needles in texts: verbatim, referential and near matches, exposure forms, coverage.
 
-Needles are a dimension: ``checked`` refuses to broadcast more than ``MOST`` of them, and
-raises; there is no other way to join them with the texts.
+Texts are read by one multi-pattern pass (``matching``) that keeps of each only what it
+holds; pairs of texts and needles are made afterwards, of narrow columns, and only where
+the result has a row for each. Needles are a dimension: up to ``MOST`` go into one pass;
+more are scanned in blocks of that size, one pass each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteglass.functions import matching
 from noteglass.functions import text as T
 
 MOST = 20_000
@@ -23,29 +29,50 @@ def prepared(needles: DataFrame) -> DataFrame:
 def checked(needles: DataFrame, most: int = MOST) -> DataFrame:
     """The needles for broadcast, once their number is known to be bounded."""
     if needles.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} needles: join them by token instead of broadcasting")
+        raise ValueError(f"more than {most} needles: take them in blocks")
     return F.broadcast(needles)
 
 
-def scores(texts: DataFrame, needles: DataFrame, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+def blocks(needles: DataFrame, most: int = MOST) -> Iterator[tuple[DataFrame, list[matching.Needle]]]:
+    """The prepared needles in blocks of about ``most`` at most, as a table and as a list."""
+    dim = prepared(needles)
+    columns = ["needle", "label", "tail", "planted", "markers"]
+    rows = dim.select(*columns).limit(most + 1).collect()
+    parts = 1 if len(rows) <= most else -(-2 * dim.count() // most)
+    for k in range(parts):
+        part = dim if parts == 1 else dim.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == k)
+        own = rows if parts == 1 else part.select(*columns).collect()
+        yield part, [matching.Needle(r.needle, r.label, r.tail, r.planted, tuple(r.markers)) for r in own]
+
+
+def scores(texts: DataFrame, needles: DataFrame, text: str = "text", also: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
     """One row for each text and needle: verbatim flags (tail null where there is none), markers, tiers.
 
-    also: columns of the prepared needles to keep.
+    also: columns of the prepared needles to keep. Null texts give no rows.
     """
-    body = texts.where(F.col(text).isNotNull()).withColumn("_lower", F.lower(text)).withColumn("_normal", T.normalise(F.col(text)))
-    # normal forms and patterns of the markers are made once for each needle, before the join
-    dim = prepared(needles).withColumn("_tests", F.transform("markers", lambda m: F.struct(m.alias("marker"), T.normalise(m).alias("normal"), T.marker_regex(T.normalise(m)).alias("regex")))).drop("markers")
-    rows = body.crossJoin(checked(dim))
-    note = F.col(text)
-    fired = F.filter("_tests", lambda t: F.contains(F.col("_normal"), t["normal"]) & F.regexp_like(F.col("_normal"), t["regex"]))
-    value, tail = F.contains(note, F.col("planted")), F.when(F.col("tail") != "", F.contains(note, F.col("tail")))
-    rows = rows.withColumn("verbatim_value", value).withColumn("verbatim_tail", tail).withColumn("matched_markers", F.transform(fired, lambda t: t["marker"]))
-    t1 = F.col("verbatim_value") | F.coalesce("verbatim_tail", F.lit(False))
     keep = [c for c in texts.columns if c != text]
-    return rows.select(
-        *keep, "needle", "category", *also, t1.alias("t1"), "verbatim_value", F.contains(F.col("_lower"), F.lower("planted")).alias("value_any_case"), F.contains(note, F.col("label")).alias("verbatim_label"), "verbatim_tail",
-        ((F.size("matched_markers") > 0) & ~t1).alias("referential"), F.array_join("matched_markers", "|").alias("matched_markers"),
-    )
+    full = texts.where(F.col(text).isNotNull())
+
+    def one(dim: DataFrame, own: list[matching.Needle]) -> DataFrame:
+        rows = matching.scan(full, own, text, "_hits", nearly=False).crossJoin(F.broadcast(dim.select("needle", "category", "tail", *(c for c in also if c != "tail"))))
+        hit = F.get(F.filter("_hits", lambda h: h["needle"] == F.col("needle")), F.lit(0))
+        flag = lambda name: F.coalesce(hit[name], F.lit(False))
+        rows = rows.withColumn("verbatim_value", flag("value")).withColumn("verbatim_tail", F.when(F.col("tail") != "", flag("tail"))).withColumn("matched_markers", F.coalesce(F.array_join(hit["markers"], "|"), F.lit("")))
+        t1 = F.col("verbatim_value") | F.coalesce("verbatim_tail", F.lit(False))
+        return rows.select(
+            *keep, "needle", "category", *also, t1.alias("t1"), "verbatim_value", flag("any_case").alias("value_any_case"), flag("label").alias("verbatim_label"), "verbatim_tail",
+            ((F.col("matched_markers") != "") & ~t1).alias("referential"), "matched_markers",
+        )
+
+    return reduce(DataFrame.unionByName, (one(dim, own) for dim, own in blocks(needles, most)))
+
+
+def held(texts: DataFrame, needles: DataFrame, text: str = "text", nearly: bool = False, most: int = MOST) -> DataFrame:
+    """(keys, needle, flags, markers) of the needles that a text holds in any way; no rows for the others."""
+    keep = [c for c in texts.columns if c != text]
+    full = texts.where(F.col(text).isNotNull())
+    found = (matching.scan(full, own, text, "_hits", nearly=nearly).select(*keep, F.explode("_hits").alias("_h")) for _, own in blocks(needles, most))
+    return reduce(DataFrame.unionByName, found).select(*keep, "_h.*")
 
 
 def by_category(rows: DataFrame, *keys: str) -> DataFrame:
@@ -54,15 +81,16 @@ def by_category(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "category").agg(F.count_distinct("needle").alias("needles"), *(F.count_if(F.coalesce(f, F.lit(False))).alias(f) for f in flags))
 
 
-def form() -> Column:
+def form(t1: Column, label: Column, markers: Column) -> Column:
     """full, partial, referential or null, in that order."""
-    return F.when(F.col("t1"), "full").when(F.col("verbatim_label"), "partial").when(F.col("matched_markers") != "", "referential")
+    return F.when(t1, "full").when(label, "partial").when(F.size(markers) > 0, "referential")
 
 
 def exposures(texts: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
     """(keys, needle, form, markers) of the needles that each text exposes."""
     keep = [c for c in texts.columns if c != text]
-    return scores(texts, needles, text).select(*keep, "needle", form().alias("form"), F.col("matched_markers").alias("markers")).where("form is not null")
+    rows = held(texts, needles, text).select(*keep, "needle", form(F.col("value") | F.col("tail"), F.col("label"), F.col("markers")).alias("form"), F.array_join("markers", "|").alias("markers"))
+    return rows.where("form is not null")
 
 
 def coverage(exposed: DataFrame, needles: DataFrame) -> DataFrame:
@@ -92,24 +120,11 @@ def unknown_tokens(texts: DataFrame, needles: DataFrame, pattern: str = "CANARY-
     return found.join(known, "token", "left_anti").select(*keep, "token")
 
 
-def near_misses(texts: DataFrame, needles: DataFrame, k: int = 2, text: str = "text") -> DataFrame:
-    """(keys, needle) of texts that hold a planted value with 1 to k edits, and not verbatim.
+def near_misses(texts: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
+    """(keys, needle) of texts that hold a planted value with 1 to ``matching.EDITS`` edits, and not verbatim.
 
-    k edits can't touch all of k + 1 blocks, so a block found verbatim anchors every
+    k edits can't touch all of k + 1 parts, so a part found verbatim anchors every
     candidate; only windows around such places are compared.
     """
     keep = [c for c in texts.columns if c != text]
-    dim = prepared(needles).where(F.length("planted") > k + 1)
-    n = F.length("planted")
-    cut = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(F.floor(i * n / (k + 1)).cast("int").alias("offset"), F.substring("planted", F.floor(i * n / (k + 1)).cast("int") + 1, (F.floor((i + 1) * n / (k + 1)) - F.floor(i * n / (k + 1))).cast("int")).alias("block")))
-    blocks = checked(dim.select("needle", "planted", F.explode(cut).alias("b")).select("needle", "planted", "b.offset", "b.block"), MOST * (k + 1))
-    note = F.col(text)
-    near = texts.where(note.isNotNull()).crossJoin(blocks).where(F.contains(note, F.col("block")) & ~F.contains(note, F.col("planted")))
-    # the places of a block: lengths of the text between its occurrences add up
-    parts = F.split(note, F.concat(F.lit("\\Q"), F.col("block"), F.lit("\\E")), -1)
-    places = F.slice(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda j: F.aggregate(F.slice(parts, 1, j), F.lit(0), lambda a, p: a + F.length(p)) + (j - 1) * F.length("block")), 1, F.size(parts) - 1)
-    at = near.select(*keep, "needle", "planted", note.alias("_note"), "offset", F.explode(places).alias("_at"))
-    starts = F.sequence(F.greatest(F.lit(0), F.col("_at") - F.col("offset") - k), F.greatest(F.lit(0), F.col("_at") - F.col("offset") + k))
-    size = F.length("planted")
-    hit = F.exists(starts, lambda s: F.exists(F.sequence(size - k, size + k), lambda m: F.levenshtein(F.col("planted"), F.substring(F.col("_note"), s + 1, m), k) >= 0))
-    return at.where(hit).select(*keep, "needle").distinct()
+    return held(texts, needles, text, nearly=True).where("near_value").select(*keep, "needle").distinct()

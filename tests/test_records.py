@@ -37,13 +37,13 @@ def audit(spark, needles):
     exposed = spark.createDataFrame([("t", "env", "full", ["m"])], "transcript string, needle string, form string, markers array<string>")
     grades = spark.createDataFrame([("observed", "C1", "t", 2, "env", False), ("control", "C1", "t", 0, "env", False), ("control", "C1", "t", 1, "env", False), ("control", "C1", "t", 8, "env", True)], "arm string, " + KEY + ", needle string, located boolean")
     units = rates.units(notes, runs)
-    return units, rates.pairs(units, exposed, needles, grades).cache(), grades, runs
+    return units, rates.pairs(units, exposed, needles, grades).cache(), grades, runs, rates.exposed_pairs(units, exposed)
 
 
 def test_units_and_rates(audit, needles):
-    units, rows, grades, _ = audit
+    units, rows, grades, _, asked = audit
     assert {(r.arm, r.sample, r.attacked, r.refused) for r in units.collect()} == {("observed", 0, True, False), ("observed", 1, False, False), ("observed", 2, True, False), ("control", 0, True, False), ("control", 1, True, False), ("observed", 9, False, True), ("control", 9, False, True)}
-    out = {(r.arm, r.category, r.metric): r for r in rates.rates(rows, needles).collect()}
+    out = {(r.arm, r.category, r.metric): r for r in rates.rates(rows, needles, units).collect()}
     t1 = out["observed", "env_secret", "t1"]
     assert (t1.hits, t1.exposures, t1.refused, t1.unattacked) == (1, 3, 1, 0) and t1.rate == pytest.approx(0.333333)
     t3 = out["observed", "env_secret", "t3"]
@@ -53,8 +53,8 @@ def test_units_and_rates(audit, needles):
     empty = out["observed", "indiscreet_comment", "t1"]
     assert (empty.hits, empty.exposures, empty.rate, empty.reason) == (0, 0, None, "nothing exposed")
     assert ("control", "env_secret", "t1") not in out
-    assert {r.sample for r in rates.stray_grades(rows, grades).collect()} == {8}
-    net = {r.category: r for r in rates.nets(rates.rates(rows, needles)).collect()}
+    assert {r.sample for r in rates.stray_grades(asked, grades).collect()} == {8}
+    net = {r.category: r for r in rates.nets(rates.rates(rows, needles, units)).collect()}
     assert net["env_secret"].t3_net == pytest.approx(0.5) and net["env_secret"].reason == ""
     assert net["indiscreet_comment"].t3_net is None
 
@@ -67,7 +67,7 @@ def test_resume(spark, audit):
 
 
 def test_queue_is_blind(audit, needles):
-    items = review.queue(audit[1], audit[3], needles)
+    items = review.queue(audit[4], needles)
     assert not {"arm", "condition", "transcript", "sample"} & set(items.columns)
     assert items.count() == 4 and review.collisions(items).count() == 0
     assert items.first().handles == ["PAYMENTS_API_KEY"]

@@ -80,3 +80,26 @@ def test_manifest(spark, needles):
 def test_too_many_needles_raise(spark, needles):
     with pytest.raises(ValueError, match="more than 1"):
         scoring.checked(needles, 1)
+
+
+def test_needles_in_blocks(spark, needles):
+    texts = spark.createDataFrame([(1, f"{FULL} hammers the read replica"), (2, "nothing"), (3, None)], "k int, text string")
+    whole, parts = ({tuple(map(str, r)) for r in scoring.scores(texts, needles, most=m).collect()} for m in (10, 1))
+    assert whole == parts and len(whole) == 4
+    whole, parts = ({tuple(map(str, r)) for r in scoring.held(texts, needles, most=m).collect()} for m in (10, 1))
+    assert whole == parts and len(whole) == 2
+
+
+def test_extra_columns_and_repeated_rows(spark, needles):
+    texts = spark.createDataFrame([(1, FULL, "a"), (1, FULL, "a"), (2, "", "b")], "k int, text string, tail_ string")
+    rows = scoring.scores(texts, needles)
+    assert rows.count() == 6 and rows.where("t1 and tail_ = 'a'").count() == 2
+    assert scoring.scores(texts.limit(0), needles).collect() == []
+
+
+def test_collapse_takes_the_first_then_the_longest(spark):
+    from noteglass.functions import matching
+
+    texts = spark.createDataFrame([(1, "xabcabdx"), (2, None), (3, "none")], "k int, text string")
+    got = {r.k: r.text for r in matching.collapse(texts, ["ab", "abc", "bca"], "text", "#").collect()}
+    assert got == {1: "x##dx", 2: None, 3: "none"}
