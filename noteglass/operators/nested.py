@@ -1,8 +1,9 @@
 """Nested session records as flat tables that keep their parent links.
 
-A session is one JSON tree. A bottom-up tree automaton gives every node a state from its
-label set and the states of its children; the state is the structural variant, and each
-variant is routed to the table of its subtype:
+A session is one JSON tree. A bottom-up tree automaton gives every node a state, once, from
+its label set and the states of its children; the state is the structural variant, and each
+variant is routed to the table of its subtype. Both runs over the tree, up for the states
+and down for the rows, keep their own stack, so depth is bounded by the JSON reader alone:
 
     STR REF                 -> block       (text, ref)
     TURN                    -> turn        (the turn's type)
@@ -14,7 +15,8 @@ All subtypes share the common keys rec, kind, i, j, node and parent.
 Defined cases: a bare string or object where a list is expected counts as a list of one;
 null, missing and empty values give no child; a payload that isn't one JSON document
 gives no rows (a byte order mark, or JSON text inside a JSON string, is still one);
-unknown labels are kept out of the tables; nesting too deep for the reader gives no rows.
+unknown labels are kept out of the tables; nesting too deep for the reader gives no rows,
+and a value too deep to be written as text is null.
 A record that was delivered twice gives its rows once.
 """
 
@@ -59,17 +61,19 @@ def listed(value) -> list:
     return value if isinstance(value, list) else [value]
 
 
-def state(node) -> str:
+def children(node) -> Iterable:
+    return node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+
+
+def leaf(node) -> str:
+    """State of a node without children of its own."""
+    return NULL if node is None else STR if isinstance(node, str) else SCALAR
+
+
+def transition(node, below: set[str]) -> str:
     """Transition of the automaton, from a node's labels and the states of its children."""
-    if node is None:
-        return NULL
-    if isinstance(node, str):
-        return STR
     if isinstance(node, list):
-        below = {state(x) for x in node}
         return WRAP if below & CONTAINERS else LIST
-    if not isinstance(node, dict):
-        return SCALAR
     if isinstance(node.get("canary"), str):
         return EXPO
     if "turns" in node or "segments" in node or "exposes" in node:
@@ -78,36 +82,58 @@ def state(node) -> str:
         return TURN
     if "file" in node:
         return REF
-    if any(isinstance(x, (dict, list)) and state(x) in CONTAINERS for x in node.values()):
+    if below & CONTAINERS:
         return WRAP
     return SESSION if "id" in node else OTHER
 
 
+def states(tree) -> dict[int, str]:
+    """State of every object and list, by identity: children before their parents, each once."""
+    out: dict[int, str] = {}
+    stack = [(tree, False)] if isinstance(tree, (dict, list)) else []
+    while stack:
+        node, ready = stack.pop()
+        if not ready:
+            stack.append((node, True))
+            stack.extend((x, False) for x in children(node) if isinstance(x, (dict, list)))
+        else:
+            out[id(node)] = transition(node, {out[id(x)] for x in children(node) if isinstance(x, (dict, list))})
+    return out
+
+
 class Walk:
     """Rows of one record: turns count on through everything that wraps or divides a session."""
 
-    def __init__(self, rec: str):
-        self.rec, self.turns, self.exposures = rec, 0, 0
+    def __init__(self, rec: str, found: dict[int, str]):
+        self.rec, self.found, self.turns, self.exposures = rec, found, 0, 0
         self.rows: list[dict] = []
 
+    def state(self, node) -> str:
+        return self.found[id(node)] if isinstance(node, (dict, list)) else leaf(node)
+
     def emit(self, kind: str, i: int, j: int, label, variant: str, parent: str, **typed) -> str:
         node = {"session": self.rec, "turn": f"{self.rec}#t{i}", "block": f"{self.rec}#t{i}.{j}", "exposure": f"{self.rec}#e{i}", "marker": f"{self.rec}#e{i}.{j}"}[kind]
         self.rows.append({"rec": self.rec, "kind": kind, "i": i, "j": j, "label": label, "node": node, "parent": parent, "variant": variant} | typed)
         return node
 
-    def container(self, node, wrapped: str = "") -> None:
+    def run(self, tree) -> None:
+        """Rows of a tree in document order; what is still to do is kept on a stack."""
+        todo = [(tree, "")]
+        while todo:
+            node, wrapped = todo.pop()
+            kind = self.state(node)
+            if kind in CONTAINERS:
+                todo.extend(reversed(list(self.container(node, kind, wrapped))))
+            elif isinstance(node, dict):
+                self.turn(node)
+
+    def container(self, node, kind: str, wrapped: str) -> Iterator[tuple]:
+        """Emit what a container holds itself; yields its containers and turns, in order."""
         if isinstance(node, list):
-            for x in node:
-                if state(x) in CONTAINERS:
-                    self.container(x, wrapped or "wrapped")
-                elif state(x) == TURN:
-                    self.turn(x)
+            yield from ((x, wrapped or "wrapped") for x in node if self.state(x) in CONTAINERS or self.state(x) == TURN)
             return
-        kind = state(node)
         if kind == WRAP:
-            for x in node.values():
-                if isinstance(x, (dict, list)) and state(x) in CONTAINERS:
-                    self.container(x, "wrapped")
+            yield from ((x, "wrapped") for x in node.values() if self.state(x) in CONTAINERS)
             return
         if kind == SESSION:
             axes = node.get("axes") if isinstance(node.get("axes"), dict) else {}
@@ -116,16 +142,12 @@ class Walk:
         for x in listed(node.get("exposes")):
             self.exposure(x)
         for key in ("turns", "segments"):
-            for x in listed(node.get(key)):
-                if state(x) in CONTAINERS:
-                    self.container(x, wrapped)
-                elif isinstance(x, dict):
-                    self.turn(x)
+            yield from ((x, wrapped) for x in listed(node.get(key)) if isinstance(x, dict) or self.state(x) in CONTAINERS)
 
     def turn(self, node: dict) -> None:
         i, kind = self.turns, text(node.get("type"))
         self.turns += 1
-        own = self.emit("turn", i, -1, kind, f"turn.{kind}", self.rec, tool=text(node.get("tool")), command=text(node.get("command")), ok=node.get("ok") if isinstance(node.get("ok"), bool) else None, meta=json.dumps(node["meta"], sort_keys=True) if node.get("meta") is not None else None)
+        own = self.emit("turn", i, -1, kind, f"turn.{kind}", self.rec, tool=text(node.get("tool")), command=text(node.get("command")), ok=node.get("ok") if isinstance(node.get("ok"), bool) else None, meta=sorted_text(node.get("meta")))
         names = ("body", "result", "text") if kind == "tool" else ("body", "text", "result")
         for j, x in enumerate(listed(next((node[k] for k in names if node.get(k) is not None), None))):
             if isinstance(x, dict):
@@ -147,7 +169,19 @@ class Walk:
 
 
 def text(value) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value)
+    if value is None or isinstance(value, str):
+        return value
+    try:
+        return json.dumps(value)
+    except RecursionError:
+        return None
+
+
+def sorted_text(value) -> str | None:
+    try:
+        return None if value is None else json.dumps(value, sort_keys=True)
+    except RecursionError:
+        return None
 
 
 def number(value) -> int | None:
@@ -157,10 +191,9 @@ def number(value) -> int | None:
 def rows(rec: str, payload: str | None) -> list[dict]:
     """All rows of one record, the session's own first."""
     tree = parse(payload)
-    if state(tree) not in CONTAINERS:
-        return []
-    walk = Walk(rec)
-    walk.container(tree)
+    walk = Walk(rec, states(tree))
+    if walk.state(tree) in CONTAINERS:
+        walk.run(tree)
     return walk.rows
 
 
@@ -199,7 +232,7 @@ def sessions(transcripts: DataFrame, files: DataFrame) -> DataFrame:
     return typed.unionByName(files.select(F.concat(F.lit("file:"), F.col("file_id").cast("string")).alias("rec"), "payload"))
 
 
-def children(transcripts: DataFrame, files: DataFrame) -> DataFrame:
+def child_rows(transcripts: DataFrame, files: DataFrame) -> DataFrame:
     """(rec, kind, i, j, label) of every child of every session; only what children need is read."""
     typed = transcripts.select(
         F.concat(F.lit("session:"), "id").alias("rec"),

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 @query()
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.children(table(spark, folder, "transcripts"), table(spark, folder, "transcript_files"))
+    return nested.child_rows(table(spark, folder, "transcripts"), table(spark, folder, "transcript_files"))
 
 
 def _subtype(kind: str):

@@ -25,9 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set (tests)."""
+    """The shared folder of the cluster. A local one is made only where none is set and driver and executors are one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import atexit
         import shutil
         import tempfile
@@ -39,8 +41,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write a table into the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    The table is deleted when the application ends.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -52,7 +52,7 @@ def test_typed_and_json_sessions_agree(spark):
     one = ("s", "t", 1, None, None, [("c", "full", ["m"]), ("d", "full", None)], turns, "clash")
     typed = spark.createDataFrame([one, one, ("e", None, None, None, None, None, None, None)], schema)
     files = spark.createDataFrame([(1, json.dumps({"id": "s", "turns": TURNS, "exposes": EXPOSES})), (2, None), (1, json.dumps({"id": "s", "turns": TURNS, "exposes": EXPOSES}))], "file_id bigint, payload string")
-    rows = nested.children(typed, files).collect()
+    rows = nested.child_rows(typed, files).collect()
     assert {tuple(r)[1:] for r in rows if r.rec == "file:1"} == WANT
     assert {tuple(r)[1:] for r in rows if r.rec == "session:s"} == {("turn", 0, -1, "user"), ("turn", 1, -1, "tool"), ("turn", 2, -1, "assistant"), ("block", 0, 0, "text"), ("block", 1, 0, "ref"), ("block", 1, 1, "text"), ("exposure", 0, -1, "c"), ("exposure", 1, -1, "d"), ("marker", 0, 0, "m")}
     assert len(rows) == len(set(rows))
@@ -65,4 +65,20 @@ def test_empty_tables(spark, data):
     from noteglass.session import table
 
     t, f = table(spark, data, "transcripts").limit(0), table(spark, data, "transcript_files").limit(0)
-    assert nested.children(t, f).count() == 0
+    assert nested.child_rows(t, f).count() == 0
+
+
+CORE = '{"id":"s","turns":[{"type":"user","text":"a"},{"type":"tool","result":["x",{"file":"f"}]}]}'
+
+
+@pytest.mark.parametrize("payload, n", [('{"a":' * 600 + CORE + "}" * 600, 6), ("[" * 900 + CORE + "]" * 900, 6), ("[" * 5000 + "]" * 5000, 0), ('{"a":' * 100_000 + "1" + "}" * 100_000, 0)])
+def test_deep_records(payload, n):
+    """Depth costs neither the task nor the rows of what lies below."""
+    assert len(nested.rows("r", payload)) == n
+
+
+def test_every_node_has_one_state():
+    tree = nested.parse('{"x": [{"segments": [{"turns": [{"type": "user", "text": "a"}]}], "id": 1}], "y": {"canary": "c"}, "z": {"q": 1}}')
+    found = nested.states(tree)
+    assert found[id(tree)] == found[id(tree["x"])] == nested.WRAP and found[id(tree["x"][0])] == nested.SESSION and found[id(tree["x"][0]["segments"][0])] == nested.DIVISION
+    assert found[id(tree["y"])] == nested.EXPO and found[id(tree["z"])] == nested.OTHER and len(found) == 9
