@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_LOCAL: dict[str, str] = {}  # folders of applications on one machine that name none
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -34,9 +35,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
         import shutil
         import tempfile
 
-        folder = tempfile.mkdtemp(prefix="noteglass-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="noteglass-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        folder = _LOCAL[app]
     return folder.rstrip("/")
 
 
