@@ -5,11 +5,11 @@ in order of their residual, and every bin carries one bitmap of sources and one
 duplicate clusters. The successor search starts at the least residual that takes the item
 and goes on until it meets a bin without a common bit: the tightest compatible one.
 
-A duplicate cluster (equal texts) may be in a container once. A source is only kept from
-crowding one: it has four times the bits that an even spread needs, at least 8, and only
-items with the same bit conflict. A group so large that even that is impossible (it may hold a
-third of all rows) gets as many bits as an even spread needs, so that conflicts never force
-more containers than the tokens do.
+A duplicate cluster (equal texts) may be in a container once, and so may a source. A group
+so large that this is impossible (it may hold a third of all rows) has more than one bit, as
+many as an even spread over the containers needs (``room`` times as many, if asked for), and
+only items with the same bit conflict, so that conflicts never force more containers than
+the tokens do. ``fill`` reports how many containers hold a source or a cluster again.
 
 Shards are cut by hash, about ``shard`` items each, whatever source or copies they have,
 and packed one by one; a shard wastes less than a few containers, so at thousands of
@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from noteglass.llm import tokens
 from noteglass.session import materialise
 
-CAPACITY, SHARD = 2048, 20_000
+CAPACITY, SHARD, ROOM = 2048, 20_000, 1
 
 
-def slots(groups: list, bins: int, room: int, least: int) -> list[int]:
+def slots(groups: list, bins: int, room: int = ROOM) -> list[int]:
     """A bit number for every item: items of a group share bits only as far as an even spread forbids."""
     sizes, first, seen, out, free = Counter(groups), {}, defaultdict(int), [], 0
     for g in groups:
         if g is not None and sizes[g] > 1 and g not in first:
-            first[g] = (free, max(least, room * -(-sizes[g] // max(1, bins))))
+            first[g] = (free, room * -(-sizes[g] // max(1, bins)))
             free += first[g][1]
     for g in groups:
         if g in first:
@@ -51,11 +51,11 @@ def slots(groups: list, bins: int, room: int, least: int) -> list[int]:
     return out
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, room: int = ROOM) -> list[int]:
     """Bin number of every item; sizes are between 1 and the capacity."""
     bins = -(-sum(sizes) // capacity)
     order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
-    by_source, by_cluster = slots([sources[k] for k in order], bins, 4, 8), slots([clusters[k] for k in order], bins, 1, 1)
+    by_source, by_cluster = slots([sources[k] for k in order], bins, room), slots([clusters[k] for k in order], bins)
     at: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual
     held, copies = [], []  # bitmaps of the bins
     some = 0  # bit r: there are bins with residual r
@@ -98,29 +98,35 @@ def items(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     )
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start_token, n_tokens, container) of every item; container is null for size 0."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path: str | None = None, room: int = ROOM, groups: bool = False) -> DataFrame:
+    """(doc_id, piece, start_token, n_tokens, container) of every item; container is null for size 0.
+
+    room: for the bits of a source; groups: keep source and cluster of each item.
+    """
     sized = materialise(items(docs, capacity, path), "items")
     shards = max(1, -(-sized.count() // shard))
+    more = ["source", "cluster"] if groups else []
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = sized.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
-        bins = best_fit(part["n_tokens"].tolist(), [s if isinstance(s, str) else "" for s in part["source"]], part["cluster"].tolist(), capacity)
-        out = part[["doc_id", "piece", "start_token", "n_tokens"]].copy()
+        bins = best_fit(part["n_tokens"].tolist(), [s if isinstance(s, str) else "" for s in part["source"]], part["cluster"].tolist(), capacity, room)
+        out = part[["doc_id", "piece", "start_token", "n_tokens", *more]].copy()
         out["container"] = [(int(part["shard"].iloc[0]) << 32) + b for b in bins]
         return out
 
-    schema = f"doc_id {kind}, piece int, start_token int, n_tokens int, container bigint"
-    empty = sized.where("n_tokens <= 0").select("doc_id", "piece", "start_token", "n_tokens", F.lit(None).cast("bigint").alias("container"))
+    schema = ", ".join([f"doc_id {kind}, piece int, start_token int, n_tokens int", *(f"{c} {sized.schema[c].dataType.simpleString()}" for c in more), "container bigint"])
+    empty = sized.where("n_tokens <= 0").select("doc_id", "piece", "start_token", "n_tokens", *more, F.lit(None).cast("bigint").alias("container"))
     return placed.groupBy("shard").applyInPandas(run, schema).unionByName(empty)
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: containers used, the least number that the tokens need, tokens, share of room used."""
-    each = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    """One row: containers used, the least number that the tokens need, tokens, share of room used, and containers that hold too much, a source or a cluster again. packed: with its groups."""
+    n = F.count("*")
+    each = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"), n.alias("n"), F.count_distinct(F.coalesce("source", F.lit(""))).alias("sources"), F.count_distinct("cluster").alias("clusters"))
     return each.agg(
-        F.count("*").alias("n_containers"), F.ceil(F.coalesce(F.sum("used"), F.lit(0)) / capacity).alias("least_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"),
-        F.round(F.sum("used") / (F.count("*") * capacity), 6).alias("fill"), F.count_if(F.col("used") > capacity).alias("n_over"),
+        n.alias("n_containers"), F.ceil(F.coalesce(F.sum("used"), F.lit(0)) / capacity).alias("least_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"),
+        F.round(F.sum("used") / (n * capacity), 6).alias("fill"), F.count_if(F.col("used") > capacity).alias("n_over"),
+        F.count_if(F.col("sources") < F.col("n")).alias("n_sources_again"), F.count_if(F.col("clusters") < F.col("n")).alias("n_clusters_again"),
     )

@@ -69,7 +69,7 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill(packing.pack(table(spark, folder, "documents")))
+    return packing.fill(packing.pack(table(spark, folder, "documents"), groups=True))
 
 
 def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A text is first cut into the tokenizer's own pre-tokens; each distinct pre-token is
 encoded once by the tokenizers library and kept, so the library sees the vocabulary of
 a corpus instead of its length. No merge ever crosses a pre-token, so the ids are those
-of the whole text.
+of the whole text. A vocabulary file that normalises texts, or cuts them in another way
+than byte-level BPE does, gets whole texts instead: its ids are the library's as well, and
+only the byte table, for decoding and offsets, isn't there.
 
 Defined cases: null and empty text have the empty list; text that spells a special token
 is ordinary text; repeated doc_ids (a document delivered twice) give one row; columns
@@ -12,6 +14,7 @@ other than the two named ones are ignored, whatever they are called.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -63,10 +66,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as fh:
+            told = json.load(fh)
+        #: Does the file cut texts by the pattern above, and nothing else?
+        self.cuts = told.get("normalizer") is None and {**(told.get("pre_tokenizer") or {}), "trim_offsets": None} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": None, "use_regex": True}
         self.split, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII, re.ASCII).findall
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        if not self.cuts:
+            return [text]
         return self.split_ascii(text) if text.isascii() and not _FOREIGN_SPACE.search(text) else self.split(text)
 
     def _learn(self, new: list[str]) -> None:
@@ -94,6 +103,8 @@ class Encoder:
     @cached_property
     def token_bytes(self) -> list[bytes]:
         """Bytes of every id, by the reversed byte table; special tokens spell themselves."""
+        if not self.cuts:
+            raise ValueError("the vocabulary isn't byte-level BPE: it has no byte table")
         table, size = byte_of_character(), self.tokenizer.get_vocab_size(with_added_tokens=True)
         special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         return [(s.encode() if i in special else bytes(table[c] for c in s)) for i in range(size) if (s := self.tokenizer.id_to_token(i)) is not None]
