@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteglass.functions import text
-from noteglass.operators import manifest, nested, rates, review, scanning, scoring, sessions, strip, usage
+from noteglass.operators import manifest, nested, rates, reports, review, scanning, scoring, sessions, strip, usage
 from noteglass.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,3 +418,99 @@ def q_strip(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def q_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.violations(table(spark, folder, "needles"))
+
+
+# --- records and reports ---------------------------------------------------------------
+
+
+@query(f"SELECT dist_id, substr(sha256(coalesce(prompt, '') || chr(10) || chr(10) || coalesce(transcript, '')), 1, 16) AS prompt_hash FROM ({ONCE['d']})")
+def q_prompt_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "distillations").select("dist_id", "prompt", "transcript").dropDuplicates(["dist_id"])
+    return rows.select("dist_id", reports.prompt_hash(F.coalesce("prompt", F.lit("")), F.coalesce("transcript", F.lit(""))).alias("prompt_hash"))
+
+
+ZIPPED = "list_transform(range(1, least(coalesce(len(turns), 0), coalesce(len(stop_reasons), 0)) + 1), lambda i: '## turn ' || i || ' (' || coalesce(stop_reasons[i], '') || ')' || chr(10) || chr(10) || coalesce(turns[i], ''))"
+
+
+@query(f"SELECT failure_id, coalesce(array_to_string({ZIPPED}, chr(10) || chr(10)), '') AS text FROM ({ONCE['a']})")
+def q_turns_text(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "attack_failures").select("failure_id", "turns", "stop_reasons").dropDuplicates(["failure_id"])
+    return rows.select("failure_id", reports.turns_text(F.coalesce("turns", F.array()), F.coalesce("stop_reasons", F.array())).alias("text"))
+
+
+@query(f"SELECT failure_id, to_json({{'failed': coalesce(message, ''), 'stop_reasons': coalesce(stop_reasons, []), 'turns_used': coalesce(len(turns), 0)}}) AS record FROM ({ONCE['a']})")
+def q_failure_records(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "attack_failures").select("failure_id", "message", "turns", "stop_reasons").dropDuplicates(["failure_id"])
+    return rows.select("failure_id", reports.failure_record(F.col("message"), F.col("turns"), F.col("stop_reasons")).alias("record"))
+
+
+GRADED_ROWS = "SELECT DISTINCT arm, condition, transcript, sample, canary AS needle, located FROM grades WHERE round = 'first' AND located IS NOT NULL"
+
+
+@query(
+    f"""WITH x AS (SELECT sha256(arm || chr(0) || condition || chr(0) || transcript || chr(0) || sample || chr(0) || needle || chr(0) || located::VARCHAR) AS d FROM ({GRADED_ROWS})),
+  b AS (SELECT substr(d, 1, 4) AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM x GROUP BY 1) SELECT coalesce(sum(n), 0)::BIGINT AS n, sha256(coalesce(string_agg(d, '' ORDER BY b), '')) AS digest FROM b"""
+)
+def q_grades_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.grades_digest(first_grades(spark, folder))
+
+
+@query("SELECT DISTINCT arm, condition, transcript, sample, canary AS needle, located, precise, note, round, rubric_sha256 FROM grades WHERE round = 'first' AND located IS NOT NULL")
+def q_published(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.published(table(spark, folder, "grades").withColumnRenamed("canary", "needle"))
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT arm, condition, transcript, sample, canary AS needle FROM grades WHERE round = 'first' AND located IS NOT NULL), s AS (SELECT DISTINCT arm, condition, transcript, sample, canary AS needle FROM grades WHERE round = 'regrade' AND located IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (ORDER BY {DIGEST.format(salt=chr(39) + 'sample' + chr(39))}, arm, condition, transcript, sample, needle) <= ceil(0.2::DOUBLE * count(*) OVER ()) AS drawn FROM f),
+  m AS (SELECT r.drawn, s.arm IS NOT NULL AS again FROM r LEFT JOIN s ON s.arm = r.arm AND s.condition = r.condition AND s.transcript = r.transcript AND s.sample = r.sample AND s.needle = r.needle),
+  c AS (SELECT count(*) AS first_round_pairs, count(*) FILTER (WHERE drawn) AS sampled, count(*) FILTER (WHERE again) AS regraded, count(*) FILTER (WHERE drawn AND NOT again) AS missing, count(*) FILTER (WHERE again AND NOT drawn) AS extra FROM m)
+  SELECT *, array_to_string(list_filter([CASE WHEN missing > 0 THEN missing || ' sampled pairs not graded again' END, CASE WHEN extra > 0 THEN extra || ' pairs graded again outside the sample' END], lambda x: x IS NOT NULL), '; ') AS reason FROM c"""
+)
+def q_grading_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.grading_report(_pass(spark, folder, "first"), _pass(spark, folder, "regrade"))
+
+
+@query(
+    f"SELECT a.arm, a.condition, a.transcript, a.sample, a.canary AS needle, a.x AS first, s.x AS second FROM ({PASS.format('first')}) a JOIN ({PASS.format('regrade')}) s ON a.arm = s.arm AND a.condition = s.condition AND a.transcript = s.transcript AND a.sample = s.sample AND a.canary = s.canary WHERE a.x <> s.x"
+)
+def q_disagreements(spark: SparkSession, folder: str) -> DataFrame:
+    return review.disagreements(_pass(spark, folder, "first"), _pass(spark, folder, "regrade"))
+
+
+@query(f"SELECT * FROM ({CACHE}) WHERE ratio < 0.33 AND records > 1")
+def q_cold_caches(spark: SparkSession, folder: str) -> DataFrame:
+    return usage.cold(usage.cache(runs(spark, folder)))
+
+
+LENGTHS = f"s AS (SELECT id, length(body) AS c, id IN (SELECT transcript FROM distillations) AS pilot FROM ({RENDERED}))"
+
+
+@query(f"WITH {LENGTHS} SELECT count(*) AS n, count(*) FILTER (WHERE pilot) AS n_piloted, min(c) FILTER (WHERE pilot) AS shortest, max(c) FILTER (WHERE pilot) AS longest, round(avg(c), 6) AS mean FROM s")
+def q_length_span(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.length_span(lengths(spark, folder), table(spark, folder, "distillations"))
+
+
+def lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return q_render(spark, folder).select(F.col("id").alias("transcript"), F.length("text").alias("n_chars"))
+
+
+@query(
+    f"""WITH fit AS ({SQL['q_elasticity']}), {LENGTHS.replace('s AS', 'z AS', 1)},
+  c AS (SELECT name, CASE WHEN slope IS NULL THEN 0.0::DOUBLE ELSE least(greatest(slope + shift * coalesce(se, 0), 0), 1) END AS e, slope IS NOT NULL AS measured, slope IS NOT NULL AND coalesce(se, 0) <= 0.5 AS informative FROM fit, (VALUES ('fit', 0.0), ('low', -1.0), ('high', 1.0)) v(name, shift)
+    UNION ALL SELECT name, e::DOUBLE, true, true FROM (VALUES ('flat', 0.0), ('linear', 1.0)) v(name, e)),
+  f AS (SELECT name, e, measured, informative, sum(pow(c.e * 0 + z.c, e)) / sum(CASE WHEN pilot THEN pow(z.c, e) END) AS factor FROM z, c GROUP BY ALL), t AS (SELECT stage, sum(coalesce(usage.output_tokens, 0))::BIGINT AS tokens FROM ({ONCE['r']}) WHERE stage IS NOT NULL GROUP BY stage)
+  SELECT name, round(e, 6) AS e, round(factor, 6) AS factor, measured, informative, stage, round_even(tokens * factor, 0)::BIGINT AS tokens FROM f, t"""
+)
+def q_projection(spark: SparkSession, folder: str) -> DataFrame:
+    spent = runs(spark, folder).where("stage is not null").groupBy("stage").agg(F.sum(usage.used("output_tokens")).alias("tokens"))
+    return reports.projected(q_elasticity(spark, folder), lengths(spark, folder), table(spark, folder, "distillations"), spent)
+
+
+@query()
+def q_control_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit rows of the control arm, with what stripping cost the notes that they attacked."""
+    attacked = table(spark, folder, "runs").where("stage = 'control'").select(*rates.KEY).distinct()
+    own = rates.latest(table(spark, folder, "distillations").select(*rates.KEY, "note", "ingested_at"), rates.KEY).join(attacked, rates.KEY)
+    stripped = strip.strip(own.select(*rates.KEY, F.col("note").alias("text")), table(spark, folder, "needles")).drop("text")
+    return audit(spark, folder, stripped).where("arm = 'control'")
