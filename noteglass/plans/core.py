@@ -131,14 +131,21 @@ def q_declared_vs_derived(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TOKEN = "CANARY-[A-Z0-9_-]+"
+BODIES = "SELECT DISTINCT 'doc:' || doc_id AS rec, text FROM documents UNION SELECT DISTINCT 'note:' || dist_id, note FROM distillations"
+
+
+def bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """(rec, text) of documents and notes; one that was delivered twice comes twice."""
+    docs = table(spark, folder, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("rec"), "text")
+    return docs.unionByName(table(spark, folder, "distillations").select(F.concat(F.lit("note:"), F.col("dist_id").cast("string")).alias("rec"), F.col("note").alias("text")))
 
 
 @query(
     f"""WITH {NEEDLES}, k AS (SELECT label AS token FROM n UNION SELECT planted FROM n UNION SELECT unnest(regexp_extract_all(coalesce(context, ''), '{TOKEN}')) FROM needles),
-    f AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM documents) SELECT * FROM f WHERE token NOT IN (SELECT token FROM k)"""
+    f AS (SELECT DISTINCT rec, unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM ({BODIES})) SELECT * FROM f WHERE token NOT IN (SELECT token FROM k)"""
 )
 def q_unknown_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.unknown_tokens(table(spark, folder, "documents").select("doc_id", "text").dropDuplicates(["doc_id"]), table(spark, folder, "needles"), TOKEN)
+    return scoring.unknown_tokens(bodies(spark, folder), table(spark, folder, "needles"), TOKEN).distinct()
 
 
 NEAR = """(SELECT DISTINCT {keys}, needle, kind FROM (
@@ -176,12 +183,13 @@ def q_scrub(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:sk_live_|sk_test_|pk_live_|rk_live_|AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[baprs]-|AIza|ya29\.|glpat-|npm_|dop_v1_)[A-Za-z0-9_\-]{8,}')) AS hit FROM documents)
-    SELECT doc_id, hit, count(*) AS n FROM x GROUP BY ALL"""
+    rf"""WITH x AS (SELECT rec, unnest(regexp_extract_all(text, '\b(?:sk_live_|sk_test_|pk_live_|rk_live_|AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[baprs]-|AIza|ya29\.|glpat-|npm_|dop_v1_)[A-Za-z0-9_\-]{{8,}}')) AS hit FROM ({BODIES}))
+    SELECT rec, hit, count(*) AS n FROM x GROUP BY ALL"""
 )
 def q_vendor_prefixes(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
-    return docs.select("doc_id", F.explode(text.spans(F.col("text"), scanning.VENDOR + "{8,}")).alias("s")).groupBy("doc_id", F.col("s.text").alias("hit")).agg(F.count("*").alias("n"))
+    found = F.regexp_extract_all("text", F.lit(scanning.VENDOR + "{8,}"), F.lit(0))
+    hits = bodies(spark, folder).select("rec", found.alias("hits")).where(F.size("hits") > 0).distinct()
+    return hits.select("rec", F.explode("hits").alias("hit")).groupBy("rec", "hit").agg(F.count("*").alias("n"))
 
 
 @query()
