@@ -45,6 +45,16 @@ def test_split_characters_become_the_replacement_character():
     assert len(ids) > 1 and enc.decode(ids) == "🙂" and "�" in enc.decode(ids[:1])
 
 
+def test_other_vocabularies_get_whole_texts():
+    path = tokens.vocabulary("word_bpe_49k.json")
+    enc = tokens.Encoder(path)
+    texts = ["Hello  World's end", "don't", "", "ÀB c", "a\n\nb 12"]
+    assert not enc.cuts and tokens.encoder(PATH).cuts
+    assert ids_of(enc, texts) == [enc.tokenizer.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    with pytest.raises(ValueError, match="byte-level"):
+        enc.decode([1])
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "KEEP", 5)
     enc = tokens.Encoder(PATH)
@@ -100,6 +110,14 @@ def test_best_fit(seed):
     assert len(used) <= 1.02 * (sum(sizes) / 100) + 2
 
 
+def test_a_source_comes_again_only_where_it_must(spark):
+    spread = packing.best_fit([10] * 100, [f"s{k % 10}" for k in range(100)], list(range(100)), 100)
+    assert len(set(spread)) == 10 and len({(b, k % 10) for k, b in enumerate(spread)}) == 100
+    docs = spark.createDataFrame([(k, f"word {k} " * 8, f"s{k % 3}") for k in range(30)], "doc_id bigint, text string, source string")
+    row = packing.fill(packing.pack(docs, capacity=64, groups=True), 64).first()
+    assert row.n_over == 0 and row.n_clusters_again == 0 and 0 <= row.n_sources_again <= row.n_containers
+
+
 def test_best_fit_is_tightest_and_a_huge_cluster_forces_nothing():
     assert packing.best_fit([60, 50, 40], ["a", "b", "c"], [1, 2, 3], 100) == [0, 1, 0]
     bins = packing.best_fit([25] * 400, ["a"] * 400, [1] * 400, 100)
