@@ -11,11 +11,11 @@ grammar of its own: syntax of common tools and languages, and sentences put toge
 general words; secrets where secrets stand, and what looks like one and isn't. It is the
 same for every input.
 
-Only lines that could hold a secret are labelled: those with a long token of letters and
-digits, a URL with a password, a private key's header, or a word of the gate, and those
-after a line that announces one. The gate's words are learned (``gate``): of the words that
-the field's weights connect with secrets, as many as it takes to let every made-up line
-with a secret through. All texts are read whole.
+All lines of all texts are labelled. Most are ruled out together first, where ``sieve``
+proves that no labels with a secret can be the best. ``find`` can also be given words of a
+gate, which leave lines out by guess: those are labelled that have a long token of letters
+and digits, a URL with a password, a private key's header, or a word of the gate, and those
+after a line that announces one. The queries don't use that.
 
 Defined cases: null and empty texts have no spans; declared needle values, redaction
 marks, placeholders, public keys, certificates and digests are none; a private key block
@@ -347,7 +347,7 @@ def hits(text: str, words) -> set[int]:
 
 
 def contexts(text: str, words=None) -> Iterator[tuple[int, str, str]]:
-    """(number, line, what comes before) of the lines that could hold a secret; of all but blank ones without a gate."""
+    """(number, line, what comes before) of the lines that could hold a secret; without a gate of all but blank ones, bare fences and a key's body."""
     pem, kube, before, shell, likely = "", False, "", False, hits(text, words)
     if not likely:
         return
@@ -356,6 +356,8 @@ def contexts(text: str, words=None) -> Iterator[tuple[int, str, str]]:
         if pem:
             if "-----END" in line:
                 pem = ""
+                if WORDISH.search(line[line.rindex("-----") :]) and n in likely:
+                    yield n, line, "kube" if kube and line[:1] in " \t+-" and ":" in line else ""
                 continue
             if BODY.match(line) or not line.strip() or PEM_FIELD.match(line):
                 continue
@@ -373,6 +375,8 @@ def contexts(text: str, words=None) -> Iterator[tuple[int, str, str]]:
                 state = "pem_gone"
             pem = "" if "-----END" in line or MARK in following else "in"
         if bare.startswith("```"):
+            if n in likely and WORDISH.search(bare):
+                yield n, line, state
             shell, before = True, ""
         elif bare:
             maybe = n in likely
@@ -413,7 +417,7 @@ def letters(line: str) -> set[str]:
 
 @lru_cache(maxsize=1)
 def gate() -> tuple[str, ...]:
-    """Words that let a line through to the field.
+    """Words that let a line through to the field, for callers that may leave lines out; ``scan`` doesn't.
 
     Candidates are the names and nouns of secrets that the field is trained with and the
     cues it has features for; where these aren't enough, the words that the field's weights
@@ -478,6 +482,15 @@ def find(text: str, field: crf.Model, declared: frozenset[str] = frozenset(), wo
     return [(n, a, b) for n, line, before in contexts(text, None if words is None else automaton(words)) for a, b in known(line, field, before, declared)]
 
 
+def find_all(texts: list[str | None], field: crf.Model, declared: frozenset[str] = frozenset()) -> list[list[tuple[int, int, int]]]:
+    """As find of every text, all lines labelled; those that provably hold no secret are told from the others together."""
+    from noteglass.llm.sieve import sieve
+
+    rows = [list(contexts(text)) if text else [] for text in texts]
+    likely = sieve(field).likely((line, before) for lines in rows for _, line, before in lines)
+    return [[(n, a, b) for n, line, before in lines if (line, before) in likely for a, b in known(line, field, before, declared)] for lines in rows]
+
+
 @lru_cache(maxsize=20_000)
 def short(line: str, field: crf.Model, before: str, declared: frozenset[str]) -> list[tuple[int, int]]:
     return label(line, field, before, declared)
@@ -555,14 +568,14 @@ def scan(records: DataFrame, declared: list[str], redacted: bool = False) -> Dat
     """(rec, line_no, start, end) of every secret of records (rec, text); or, redacted, (rec, n_secrets, text) of the records that hold one."""
     import noteglass.llm.credentials as own
 
-    field, words, needles = own.model(), own.gate(), frozenset(d for d in declared if len(d or "") >= 8)
+    field, needles = own.model(), frozenset(d for d in declared if len(d or "") >= 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows: list[tuple] = []
-                for rec, text in zip(batch.column("rec").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    spans = own.find(text, field, needles, words) if text else []
+                texts = batch.column("text").to_pylist()
+                for rec, text, spans in zip(batch.column("rec").to_pylist(), texts, own.find_all(texts, field, needles), strict=True):
                     if redacted and spans:
                         rows.append((rec, len(spans), own.redact(text, spans)))
                     elif not redacted:
